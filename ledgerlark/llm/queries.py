@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, decontaminate, langid, licenses, sharding, simhash, topk, warc
+from . import bpe, decontaminate, langid, licenses, lines, sharding, simhash, topk, warc
 
 
 def vocabulary() -> str:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": lambda s, d: licenses.query(table(s, d, "documents")),
         "op5_decontaminate": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_language_id": lambda s, d: langid.query(table(s, d, "documents")),
+        "op7_line_dedup": lambda s, d: lines.query(table(s, d, "documents")),
         "op8_bpe": lambda s, d: bpe.query(table(s, d, "documents"), vocabulary()),
         "op9_topk": lambda s, d: topk.query(table(s, d, "embeddings")),
         "op10_sharding": lambda s, d: sharding.extendible_shards(table(s, d, "documents")),
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op9_topk": topk.ORACLE}
+    return {"op4_license_scan": licenses.oracle(), "op7_line_dedup": lines.ORACLE, "op9_topk": topk.ORACLE}
