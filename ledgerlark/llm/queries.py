@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, decontaminate, langid, licenses, lines, sharding, simhash, topk, warc
+from . import bpe, decontaminate, langid, licenses, lines, sharding, simhash, suffixes, topk, warc
 
 
 def vocabulary() -> str:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": lambda s, d: warc.query(table(s, d, "pages")),
         "op2_simhash": lambda s, d: simhash.query(table(s, d, "documents")),
+        "op3_suffix_dedup": lambda s, d: suffixes.query(table(s, d, "documents")),
         "op4_license_scan": lambda s, d: licenses.query(table(s, d, "documents")),
         "op5_decontaminate": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_language_id": lambda s, d: langid.query(table(s, d, "documents")),
