@@ -122,8 +122,8 @@ def codec(spec: str) -> Codec:
     return Codec(json.loads(spec))
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text's identifiers and what they decode to: key, n_tokens, token_bytes, decoded.
+def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Each text's identifiers and what they decode to: key (or the columns named by carry, untouched), n_tokens, token_bytes, decoded.
 
     `vocabulary` is the path, on the driver, of a byte-level BPE file; its content travels with the
     tasks (1.6 MB, bounded by the vocabulary, not by the data). token_bytes holds the identifiers as
@@ -133,7 +133,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
             packed = [own.encode(t) for t in batch.column("_text").to_pylist()]
             yield make(schema, batch.column("_key"), [len(p) // 4 for p in packed], packed, [own.decode(p) for p in packed])
 
-    return source.mapInArrow(run, f"_key {kind}, n_tokens bigint, token_bytes binary, decoded string").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, f"_key {kind}, n_tokens bigint, token_bytes binary, decoded string").select("_key.*", "n_tokens", "token_bytes", "decoded")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:

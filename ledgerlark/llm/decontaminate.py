@@ -108,8 +108,8 @@ def _union(packs: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """Each document's occurrences of benchmark windows: key, n_words, n_hit, spans, items, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", pattern_bytes: int = PATTERN_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Each document's occurrences of benchmark windows: key (or the columns named by carry, untouched), n_words, n_hit, spans, items, contaminated.
 
     spans: array of [start, end) word intervals that are hit; items: ids found, as strings, sorted.
     Null texts have no words; items without words are never found; repeated items are all found;
@@ -123,7 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     bench = items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
     total = bench.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     rounds = max(1, -(-2 * total // pattern_bytes)) if total > pattern_bytes else 1
-    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.col(text).alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
     made = None
     for k in range(rounds):
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             yield make(schema, batch.column("_key"), batch.column("n_words"), hit, [[list(x) for x in s] for s in spans], [sorted(x) for x in batch.column("items").to_pylist()], [h > 0 for h in hit])
 
     out = made.select("_key", "n_words", "spans", "items").mapInArrow(opened, f"_key {kind}, n_words bigint, n_hit bigint, spans array<array<bigint>>, items array<string>, contaminated boolean")
-    return out.withColumnRenamed("_key", key)
+    return out.select("_key.*", "n_words", "n_hit", "spans", "items", "contaminated")
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def prototypes(docs: DataFrame, label: str = "lang", text: str = "text", dimensi
     return rows.mapInArrow(run, "label string, i int, v bigint").groupBy("label", "i").agg(F.sum("v").alias("v"))
 
 
-def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: str = "lang", text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """Each text's language and score: key, lang_pred, score in 0..1 (the cosine, negative ones as 0).
+def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: str = "lang", text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """Each text's language and score: key (or the columns named by carry, untouched), lang_pred, score in 0..1 (the cosine, negative ones as 0).
 
     Null texts and texts without a letter get `und` with score 0, and so does everything if nothing
     could be learned. Ties go to the label that sorts first. Only `text` enters a prediction; very
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: s
     else:
         mean, centred = np.zeros(dimensions), np.zeros((0, dimensions))
     sent = spark.sparkContext.broadcast((names, mean, centred))
-    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.col(text).alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: s
             score = np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
             yield make(schema, batch.column("_key"), [names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], score)
 
-    return source.mapInArrow(run, f"_key {kind}, lang_pred string, score double").withColumnRenamed("_key", key)
+    return source.mapInArrow(run, f"_key {kind}, lang_pred string, score double").select("_key.*", "lang_pred", "score")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from .components import components
 from .scratch import Scratch
 
 SEEDS = (42, 0x9E3779B97F4A7C15)
-TILE_ROWS = 8192
+TILE_ROWS = 32768
 SEGMENTS = 4
 
 
