@@ -87,7 +87,8 @@ def near_duplicate_groups(claims: DataFrame, threshold: float = 0.92, block: str
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         found = [g for g in greedy_groups(pdf[key].tolist(), np.stack(pdf[vector].to_numpy()).astype(float), threshold) if len(g) > 1]
-        return pd.DataFrame({block: [pdf[block].iloc[0]] * len(found), "pivot": [g[0] for g in found], "members": pd.Series(found, dtype=object), "size": [len(g) for g in found]})
+        rows = [(pdf[block].iloc[0], g[0], g, len(g)) for g in found]
+        return pd.DataFrame(rows, columns=[block, "pivot", "members", "size"], dtype=object)
 
     return claims.where(F.col(vector).isNotNull()).select(block, key, vector).groupBy(block).applyInPandas(group, schema)
 
