@@ -22,9 +22,11 @@ from .arrow import make, pieces
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-NONE = 1 << 62
+NONE = 1 << 60
+POSITION_BITS = 36
+PLACE = (1 << POSITION_BITS) - 1
 #: Distinct pre-tokens kept encoded in a worker; the table starts anew beyond that.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 500_000
 ID_BITS = 20
 
 
@@ -35,49 +37,48 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
-class MergeTree:
-    """The segment tree of one pre-token."""
-
-    def __init__(self, ids: list[int], ranks: dict[int, int]):
-        self.ids, self.ranks, n = ids, ranks, len(ids)
-        self.size = 1 << max(0, (n - 1).bit_length())
-        self.next, self.prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.tree = tree = [NONE] * (2 * self.size)
-        for i in range(n - 1):
-            tree[self.size + i] = self.leaf(i, i + 1)
-        for k in range(self.size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def leaf(self, i: int, j: int) -> int:
-        """rank, position and merged symbol of the pair, in that order of weight."""
-        found = self.ranks.get(self.ids[i] << ID_BITS | self.ids[j])
-        return NONE if found is None else (found >> ID_BITS) << 40 | i
-
-    def put(self, i: int, value: int) -> None:
-        tree, k = self.tree, self.size + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
-
-    def merged(self) -> list[int]:
-        ids, nxt, prev, n = self.ids, self.next, self.prev, len(self.ids)
-        while (root := self.tree[1]) != NONE:
-            i = root & ((1 << 40) - 1)
-            j = nxt[i]
-            ids[i] = self.ranks[ids[i] << ID_BITS | ids[j]] & ((1 << ID_BITS) - 1)
-            ids[j] = -1
-            nxt[i] = after = nxt[j]
-            if after < n:
-                prev[after] = i
-            self.put(j, NONE)
-            self.put(i, self.leaf(i, after) if after < n else NONE)
-            if (before := prev[i]) >= 0:
-                self.put(before, self.leaf(before, i))
-        return [x for x in ids if x >= 0]
+def merge(ids: list[int], ranks: dict[int, int], merged: dict[int, int]) -> list[int]:
+    """The symbols of one pre-token after all merges, by a segment tree.
+
+    ranks: rank << POSITION_BITS of each pair (left << ID_BITS | right); merged: the symbol it becomes.
+    The tree lies in one list: the leaf of symbol i at n + i, the children of node k at 2k and 2k + 1.
+    A leaf's value is rank and position in one number, so the least is the leftmost of the lowest rank.
+    """
+    n = len(ids)
+    if n < 2:
+        return ids
+    get = ranks.get
+    tree = [NONE] * n
+    tree += [get(x << ID_BITS | y, NONE) + i for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False))]
+    tree.append(NONE)
+    for k in range(n - 1, 0, -1):
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (root := tree[1]) < NONE:
+        i = root & PLACE
+        j = after[i]
+        ids[i] = new = merged[ids[i] << ID_BITS | ids[j]]
+        ids[j] = -1
+        after[i] = right = after[j]
+        changes = [(n + j, NONE), (n + i, NONE)]
+        if right < n:
+            before[right] = i
+            changes[1] = (n + i, get(new << ID_BITS | ids[right], NONE) + i)
+        left = before[i]
+        if left >= 0:
+            changes.append((n + left, get(ids[left] << ID_BITS | new, NONE) + left))
+        for k, value in changes:
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
+    return [x for x in ids if x >= 0]
 
 
 class Codec(dict):
@@ -89,7 +90,11 @@ class Codec(dict):
         back = {c: b for b, c in enumerate(letters)}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.first = [vocab[c] for c in letters]
-        self.ranks = {vocab[a] << ID_BITS | vocab[b]: rank << ID_BITS | vocab[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.ranks, self.merged = {}, {}
+        for rank, (a, b) in enumerate(pairs):
+            pair = vocab[a] << ID_BITS | vocab[b]
+            self.ranks.setdefault(pair, rank << POSITION_BITS)
+            self.merged.setdefault(pair, vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s, i in vocab.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
@@ -100,7 +105,8 @@ class Codec(dict):
     def __missing__(self, token: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        ids = MergeTree([self.first[b] for b in token.encode()], self.ranks).merged()
+        first = self.first
+        ids = merge([first[b] for b in token.encode()], self.ranks, self.merged)
         packed = array.array("I", ids)
         self[token] = value = packed.tobytes()
         return value
