@@ -64,7 +64,9 @@ def _pairs(claims: DataFrame, block: list[str], fields: list[str]) -> DataFrame:
     return kept.join(other, same & (order("a") < order("b")))
 
 
-FIELDS = ["speaker_name", "party", "published_at", "verbatim", "qty_value", "qty_unit", "stance_polarity"]
+#: What each comparison needs of a claim; nothing else is shuffled.
+NUMERIC_FIELDS = ["speaker_name", "party", "published_at", "qty_value", "qty_unit"]
+STANCE_FIELDS = ["speaker_name", "party", "published_at", "verbatim", "stance_polarity"]
 
 
 def _edges(pairs: DataFrame, score: Column, rationale: Column) -> DataFrame:
@@ -83,7 +85,7 @@ def _label(kind: Column) -> Column:
 def numeric_contradictions(claims: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Edges between claims of one referent and unit kind whose values differ by more than `epsilon`, relatively."""
     c = claims.where("referent_key is not null and qty_value is not null")
-    pairs = _pairs(c, ["referent_key", "qty_unit_kind"], FIELDS)
+    pairs = _pairs(c, ["referent_key", "qty_unit_kind"], NUMERIC_FIELDS)
     diff = relative_difference(F.col("a.qty_value"), F.col("b.qty_value"))
     pairs = pairs.withColumn("_diff", diff).where(F.col("_diff") > epsilon).withColumn("_type", contradiction_type())
     side = lambda s: F.concat(general_number(F.col(f"{s}.qty_value")), F.lit(" "), F.coalesce(f"{s}.qty_unit", F.lit("")), F.lit(" ("), _who(s), F.lit(", "), iso_date(f"{s}.published_at"), F.lit(")"))
@@ -94,7 +96,7 @@ def numeric_contradictions(claims: DataFrame, epsilon: float = EPSILON) -> DataF
 def stance_contradictions(claims: DataFrame) -> DataFrame:
     """Edges between claims of one referent that are for and against it."""
     c = claims.where("referent_key is not null and qty_value is null and stance_polarity in ('pour', 'contre')")
-    pairs = _pairs(c, ["referent_key"], FIELDS).where(F.col("a.stance_polarity") != F.col("b.stance_polarity")).withColumn("_type", contradiction_type())
+    pairs = _pairs(c, ["referent_key"], STANCE_FIELDS).where(F.col("a.stance_polarity") != F.col("b.stance_polarity")).withColumn("_type", contradiction_type())
     quote = lambda s: F.concat(F.col(f"{s}.stance_polarity"), F.lit(" ("), _who(s), F.lit(", "), iso_date(f"{s}.published_at"), F.lit(") : « "), F.substring(F.coalesce(f"{s}.verbatim", F.lit("")), 1, 90), F.lit(" »"))
     score = F.round(F.greatest(F.lit(NORMATIVE_SCORE), _floor(F.col("_type"))), 3)
     return _edges(pairs, score, F.concat(_label(F.col("_type")), F.lit(" — "), quote("a"), F.lit("  ⇄  "), quote("b")))

@@ -283,15 +283,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("n212_streaming_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t: Tables) -> DataFrame:
-    import shutil
     import tempfile
+    import uuid
 
     from ..sources.sinks import insert_absent
 
     # the micro-batch sink, applied twice to the same rows: a replay adds nothing
     own = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlark-")
-    path = f"{own.rstrip('/')}/dedup-{t.spark.sparkContext.applicationId}-{abs(hash(t._dir))}"
-    shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    path = f"{own.rstrip('/')}/dedup-{uuid.uuid4().hex}"
     rows = t.events.select("user_id", "event_type", F.concat_ws(":", "user_id", "event_type").alias("k"))
     insert_absent(rows, path, "k")
     insert_absent(rows, path, "k")
