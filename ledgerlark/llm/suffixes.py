@@ -15,7 +15,8 @@ sampled triples are sorted and named, names are sorted recursively, the remainin
 in, and adjacent suffixes are compared over `length` bytes.
 
 An anchor with more different contexts than a task should sort is settled by counting 128-bit hashes
-of its single windows instead, an aggregation that combines map-side and has no hot task.
+of blocks of its windows, halved where they differ: aggregations that combine map-side and have no hot
+task.
 """
 
 from __future__ import annotations
@@ -37,21 +38,21 @@ ANCHOR = 64
 STRETCH = 1 << 20
 #: Text sorted at once in a task.
 SORT_BYTES = 1 << 20
-#: Different contexts of one anchor beyond which windows are counted by hash.
+#: Different contexts of one anchor beyond which blocks of windows are counted by hash.
 HOT_CONTEXTS = 256
+FIRST_BLOCK = 64
 _MIN = -(1 << 63)
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MULTIPLY = _rng.integers(1, 1 << 63, 32, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_BYTE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def window_hashes(data: np.ndarray, length: int, letters: np.ndarray = _BYTE) -> np.ndarray:
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of every `length` bytes of uint8 data, by doubling."""
     if len(data) < length:
         return np.empty(0, np.uint64)
-    now, size, out, done, k = letters[data], 1, None, 0, 0
+    now, size, out, done, k = _BYTE[data], 1, None, 0, 0
     rest = length
     while True:
         if rest & 1:
@@ -81,8 +82,8 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[: len(now) - extra], now[extra:]) if extra else now
 
 
-def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int]]:
-    """(anchor hash, first window, number of windows) of each context; together they own every window once."""
+def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor hash, first window, number of windows, first window less anchor) of each context; together they own every window once."""
     whole = np.frombuffer(data, np.uint8)
     windows, width = len(whole) - length + 1, length - anchor + 1
     for lo in range(0, max(windows, 0), STRETCH):
@@ -95,7 +96,7 @@ def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterato
         first = np.concatenate(([0], cuts))
         n = np.diff(np.concatenate((first, [len(owner)])))
         at = names[owner[first]].view(np.int64)
-        yield from zip(at.tolist(), (first + lo).tolist(), n.tolist(), strict=True)
+        yield from zip(at.tolist(), (first + lo).tolist(), n.tolist(), (first - owner[first]).tolist(), strict=True)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -183,30 +184,30 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
     long_ = docs.select(*_document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("w", pa.int32())])
+        schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("o", pa.int32())])
         for batch in pieces(batches, "text", 2 << 20):
             d, t, rows, digests = [], [], [], []
             for dd, tt, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 data = x.encode()
                 own = list(contexts(data, length))
                 rows += own
-                digests += [hashlib.md5(data[s : s + w + length - 1]).digest() for _, s, w in own]
+                digests += [hashlib.md5(data[s : s + w + length - 1]).digest() for _, s, w, _ in own]
                 d += [dd] * len(own)
                 t += [tt] * len(own)
             if rows:
                 c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield make(schema, d, t, [r[0] for r in rows], np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), [r[1] for r in rows], [r[2] for r in rows])
+                yield make(schema, d, t, [r[0] for r in rows], np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
 
-    found = scratch.write(long_.mapInArrow(anchors, "d bigint, t bigint, name bigint, c1 bigint, c2 bigint, s int, w int"))
+    found = scratch.write(long_.mapInArrow(anchors, "d bigint, t bigint, name bigint, c1 bigint, c2 bigint, s int, w int, o int"))
     # a context occurs n times; z is any one of its places
-    groups = scratch.write(found.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "s", "w")).alias("z")))
+    groups = scratch.write(found.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "s", "w", "o")).alias("z")))
     mixed = scratch.write(groups.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     wholly = scratch.write(groups.where("n > 1").select("c1", "c2"))
     whole = found.join(wholly, ["c1", "c2"]).select("d", "t", "s", "w")
     open_ = scratch.write(groups.join(mixed, "name").select("name", "k", "n", "z.*"))
     scratch.drop(groups)
     # the contexts' text; a join with the texts moves them once
-    cut = open_.join(long_, ["d", "t"]).select("name", "k", "n", "d", "t", "s", "w", F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("w") + length - 1).alias("x"))
+    cut = open_.join(long_, ["d", "t"]).select("name", "k", "n", "d", "t", "s", "w", "o", F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("w") + length - 1).alias("x"))
     cut = scratch.write(cut)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +235,58 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
     partly = sorted_.mapInArrow(sort, "d bigint, t bigint, s int, w int")
     out = whole.unionByName(partly)
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32())])
-        for batch in batches:
-            for d, t, s, w, x in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                data = np.frombuffer(x, np.uint8)
-                h1, h2 = window_hashes(data, length).view(np.int64), window_hashes(data, length, _BYTE2).view(np.int64)
-                yield make(schema, h1, h2, np.full(w, d), np.full(w, t), np.arange(s, s + w, dtype=np.int32))
-
     if not mixed.where(F.col("k") > hot).isEmpty():
-        each = scratch.write(cut.where(F.col("k") > hot).select("d", "t", "s", "w", "x").mapInArrow(single, "h1 bigint, h2 bigint, d bigint, t bigint, s int"))
+        out = out.unionByName(_halved(cut.where(F.col("k") > hot).dropDuplicates(["d", "t", "s"]), scratch, length))
+    return out
+
+
+def _halved(cut: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """repeated_windows for contexts (d, t, s, w, o, x) of which many share an anchor, without sorting them together.
+
+    Windows are taken in blocks of neighbouring offsets from the anchor. All windows of a block hold
+    its core; so a core that occurs once settles the block: none is a repeat. The stretch that the
+    block's windows cover settles it too if it occurs again: all are. What is left is halved, down to
+    single windows, whose core and stretch are the window itself. Occurrences are counted by 128-bit
+    hash with a map-side combined aggregation, so an anchor may have any number of contexts, and only
+    blocks at the edge of a shared passage are halved on.
+    """
+    size = FIRST_BLOCK
+    first = F.floor(F.col("o") / size).cast("int")
+    last = F.floor((F.col("o") + F.col("w") - 1) / size).cast("int")
+    todo = cut.select("d", "t", "s", F.explode(F.sequence(first, last)).alias("b")).select("d", "t", "s", (F.col("b") * size).alias("lo"))
+    out = None
+    while size:
+
+        def hashed(batches: Iterator[pa.RecordBatch], size: int = size) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("o", pa.int32()), ("lo", pa.int32()), *((k, pa.int64()) for k in ("c1", "c2", "e1", "e2"))])
+            none = [None, None]
+            for batch in batches:
+                cores, covers = [], []
+                for o, lo, x in zip(*(batch.column(c).to_pylist() for c in ("o", "lo", "x")), strict=True):
+                    mark, a = lo.to_bytes(4, "little", signed=True), lo - o
+                    cores.append(np.frombuffer(hashlib.md5(mark + x[a + size - 1 : a + length]).digest(), np.int64).tolist())
+                    inside = a >= 0 and a + size - 1 + length <= len(x)
+                    covers.append(np.frombuffer(hashlib.md5(mark + x[a : a + size - 1 + length]).digest(), np.int64).tolist() if inside else none)
+                yield make(schema, *(batch.column(c) for c in ("d", "t", "s", "w", "o", "lo")), *map(list, zip(*cores, strict=True)), *map(list, zip(*covers, strict=True)))
+
+        blocks = todo.join(cut, ["d", "t", "s"]).select("d", "t", "s", "w", "o", "lo", "x")
+        blocks = scratch.write(blocks.mapInArrow(hashed, "d bigint, t bigint, s int, w int, o int, lo int, c1 bigint, c2 bigint, e1 bigint, e2 bigint"))
         at = F.struct("d", "t", "s")
-        twice = scratch.write(each.groupBy("h1", "h2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("h1", "h2"))
-        out = out.unionByName(each.join(twice, ["h1", "h2"]).select("d", "t", "s", F.lit(1).alias("w")))
+        again = lambda df, a, b: scratch.write(df.where(F.col(a).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias(f"{a}_first")).where("n > 1").drop("n"))  # noqa: B023, E731
+        whole = blocks.join(again(blocks, "e1", "e2"), ["e1", "e2"], "left")
+        start, end = F.greatest(F.col("lo"), F.col("o")), F.least(F.col("lo") + size, F.col("o") + F.col("w"))
+        full = whole.where("e1_first is not null").select("d", "t", (F.col("s") - F.col("o") + start).alias("s"), (end - start).alias("w"))
+        out = full if out is None else out.unionByName(full)
+        if size == 1:
+            break
+        # of equal stretches one goes on: a context that owns only a part of the block may still meet it
+        left = whole.where(F.col("e1_first").isNull() | (F.col("e1_first") == at)).join(again(blocks, "c1", "c2"), ["c1", "c2"])
+        half = size // 2
+        todo = left.select("d", "t", "s", "w", "o", F.explode(F.array(F.col("lo"), F.col("lo") + half)).alias("lo"))
+        todo = scratch.write(todo.where((F.col("lo") + half > F.col("o")) & (F.col("lo") < F.col("o") + F.col("w"))).select("d", "t", "s", "lo"))
+        if todo.isEmpty():
+            break
+        size = half
     return out
 
 
