@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 HASH_BITS = 60
 
 
@@ -39,14 +41,14 @@ def extendible_shards(
     Prefix totals are refined from `first_bits` by `step_bits` and only for prefixes that are still
     too large, so the number of jobs depends on the hash length, not on the data.
     """
-    spark = rows.sparkSession
+    scratch = Scratch(rows.sparkSession, "shards")
     base = rows.select(
         F.col(key).alias("_k"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("_b"),
         row_hash(F.col(key), F.col(text)).alias("_h"),
     )
     # one row per distinct hash: the repeats of a row are counted before anything is joined
-    hashes = base.groupBy("_h").agg(F.sum("_b").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("_b").alias("each"))
+    hashes = scratch.write(base.groupBy("_h").agg(F.sum("_b").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("_b").alias("each")))
     cuts = list(range(first_bits, HASH_BITS, step_bits)) + [HASH_BITS]
     # bytes of every ancestor prefix; levels beyond the first cut exist only below prefixes that are too large
     level = hashes.withColumn("cut", F.lit(cuts[0]))
@@ -60,6 +62,7 @@ def extendible_shards(
             .groupBy("q")
             .agg(F.sum("bytes").alias("shard_bytes"))
         )
+        totals = scratch.write(totals)
         parent = totals.select(F.col("q").alias("_pq"), F.col("shard_bytes").alias("parent_bytes"))
         fits = (
             totals.join(parent, F.col("_pq") == F.expr("substring(q, 1, length(q) - 1)"), "left")
@@ -73,8 +76,9 @@ def extendible_shards(
         big = totals.where((F.length("q") == cut) & (F.col("shard_bytes") > limit_bytes)).select("q")
         if cut == HASH_BITS or not big.limit(1).count():
             break
-        level = level.join(big, _prefix(F.col("_h"), cut) == F.col("q"), "left_semi")
+        level = scratch.write(level.join(big, _prefix(F.col("_h"), cut) == F.col("q"), "left_semi"))
         low = cut
+    leaves = scratch.write(leaves)
     # a leaf's depth differs from leaf to leaf: equi-join once per depth that occurs, on the hash's own prefix
     depths = [r[0] for r in leaves.select(F.length("q").alias("d")).distinct().orderBy("d").limit(HASH_BITS + 1).collect()]
     candidates = F.array(*[_prefix(F.col("_h"), d) for d in depths]) if depths else F.array(F.lit(""))
