@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import make, pieces
+from .arrow import column, keyed, make, pieces
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -84,8 +84,9 @@ def merge(ids: list[int], ranks: dict[int, int], merged: dict[int, int]) -> list
 class Codec(dict):
     """A vocabulary; as a mapping, packed identifiers (unsigned 32-bit, little-endian) by pre-token."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, cache_tokens: int = CACHE_TOKENS):
         super().__init__()
+        self.cache_tokens = cache_tokens
         vocab, letters = spec["model"]["vocab"], byte_alphabet()
         back = {c: b for b, c in enumerate(letters)}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
@@ -103,7 +104,7 @@ class Codec(dict):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else lambda s: [s]
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= CACHE_TOKENS:
+        if len(self) >= self.cache_tokens:
             self.clear()
         first = self.first
         ids = merge([first[b] for b in token.encode()], self.ranks, self.merged)
@@ -124,12 +125,12 @@ class Codec(dict):
 
 
 @lru_cache(maxsize=2)
-def codec(spec: str) -> Codec:
-    return Codec(json.loads(spec))
+def codec(spec: str, cache_tokens: int = CACHE_TOKENS) -> Codec:
+    return Codec(json.loads(spec), cache_tokens)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Each text's identifiers and what they decode to: key (or the columns named by carry, untouched), n_tokens, token_bytes, decoded.
+def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, cache_tokens: int = CACHE_TOKENS) -> DataFrame:
+    """Each text's identifiers and what they decode to: key (or the columns named by carry, untouched), n_tokens, token_bytes, decoded, round_trip.
 
     `vocabulary` is the path, on the driver, of a byte-level BPE file; its content travels with the
     tasks (1.6 MB, bounded by the vocabulary, not by the data). token_bytes holds the identifiers as
@@ -139,17 +140,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    source, where = keyed(docs, key, text, carry)
     kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, schema = codec(spec.value), None
-        for batch in pieces(batches, "_text"):
-            schema = schema or pa.schema([("_key", batch.schema.field("_key").type), ("n_tokens", pa.int64()), ("token_bytes", pa.binary()), ("decoded", pa.string())])
-            packed = [own.encode(t) for t in batch.column("_text").to_pylist()]
-            yield make(schema, batch.column("_key"), [len(p) // 4 for p in packed], packed, [own.decode(p) for p in packed])
-
-    return source.mapInArrow(run, f"_key {kind}, n_tokens bigint, token_bytes binary, decoded string").select("_key.*", "n_tokens", "token_bytes", "decoded")
+        own, schema = codec(spec.value, cache_tokens), None
+        for batch in pieces(batches, where, 4 << 20):
+            schema = schema or pa.schema([batch.schema.field("_key"), ("n_tokens", pa.int64()), ("token_bytes", pa.binary()), ("decoded", pa.string()), ("round_trip", pa.bool_())])
+            texts = [t or "" for t in column(batch, where).to_pylist()]
+            packed = [own.encode(t) for t in texts]
+            decoded = [own.decode(p) for p in packed]
+            yield make(schema, batch.column("_key"), [len(p) // 4 for p in packed], packed, decoded, [a == b for a, b in zip(texts, decoded, strict=True)])
+
+    out = source.mapInArrow(run, f"_key {kind}, n_tokens bigint, token_bytes binary, decoded string, round_trip boolean")
+    return out.select("_key.*", "n_tokens", "token_bytes", "decoded", "round_trip")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:

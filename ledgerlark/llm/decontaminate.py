@@ -9,7 +9,6 @@ word for word. A block that no pattern has allows the longest jump, so clean tex
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import make, pieces
+from .arrow import column, keyed, make, pieces
 
 WINDOW = 10
 #: Benchmark text sent with the tasks at once; a larger benchmark is searched for in several rounds.
@@ -76,7 +75,7 @@ def build(items: list[tuple[object, str | None]], window: int = WINDOW) -> list[
     return [Search(by_length[size]) for size in sorted(by_length)]
 
 
-def search(text: str | None, tables: list[Search]) -> tuple[int, list[tuple[int, int]], list]:
+def search(text: str | None, tables: list[Search]) -> tuple[int, list[list[int]], list]:
     """Number of words, merged word intervals [start, end) that are hit, and the items found."""
     w = words(text)
     found, items = [], set()
@@ -84,27 +83,17 @@ def search(text: str | None, tables: list[Search]) -> tuple[int, list[tuple[int,
         for start, own in table.occurrences(w):
             found.append((start, start + table.length))
             items.update(own)
-    merged: list[list[int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return len(w), [(a, b) for a, b in merged], sorted(items, key=str)
-
-
-def _pack(spans: list[tuple[int, int]]) -> bytes:
-    return b"".join(struct.pack("<qq", *s) for s in spans)
+    return len(w), _union(found), sorted(items, key=str)
 
 
-def _union(packs: list[bytes]) -> list[tuple[int, int]]:
-    spans = sorted(s for p in packs for s in struct.iter_unpack("<qq", p))
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    """Intervals joined where they touch."""
+    out: list[list[int]] = []
+    for a, b in sorted(map(tuple, spans)):
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1][1] = max(b, out[-1][1])
         else:
-            out.append((a, b))
+            out.append([a, b])
     return out
 
 
@@ -123,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     bench = items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
     total = bench.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     rounds = max(1, -(-2 * total // pattern_bytes)) if total > pattern_bytes else 1
-    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.col(text).alias("_text"))
+    source, where = keyed(docs, key, text, carry)
     kind = source.schema["_key"].dataType.simpleString()
     made = None
     for k in range(rounds):
@@ -131,36 +120,28 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         sent = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tables, schema = build(sent.value), None
-            for batch in pieces(batches, "_text"):
-                schema = schema or pa.schema([("_key", batch.schema.field("_key").type), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string())), ("h", pa.binary())])
+            tables = build(sent.value)
+            for batch in pieces(batches, where):
+                schema = pa.schema([batch.schema.field("_key"), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("h", pa.binary())])
                 n, spans, found, digest = [], [], [], []
-                for t in batch.column("_text").to_pylist():
+                for t in column(batch, where).to_pylist():
                     a, b, c = search(t, tables)
-                    n.append(a), spans.append(_pack(b)), found.append([str(x) for x in c])
+                    n.append(a), spans.append([list(x) for x in b]), found.append(sorted(str(x) for x in c))
                     digest.append(hashlib.md5((t or "").encode()).digest() if rounds > 1 else b"")
                 yield make(schema, batch.column("_key"), n, spans, found, digest)
 
-        part = source.mapInArrow(run, f"_key {kind}, n_words bigint, spans binary, items array<string>, h binary")
+        part = source.mapInArrow(run, f"_key {kind}, n_words bigint, spans array<array<bigint>>, items array<string>, h binary")
         made = part if made is None else made.unionByName(part)
     if rounds > 1:
         # a document is known by key and text digest; a repeated row comes `rounds` times as often
+        merged = F.udf(_union, "array<array<bigint>>")
         made = (
             made.groupBy("_key", "h", "n_words")
-            .agg(F.collect_list("spans").alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / rounds).cast("int").alias("_n"))
-            .withColumn("spans", F.udf(lambda ps: _pack(_union([bytes(p) for p in ps])), "binary")("_s"))
-            .select("_key", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+            .agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / rounds).cast("int").alias("_n"))
+            .select("_key", "n_words", merged("_s").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
         )
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            schema = pa.schema([batch.schema.field("_key"), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
-            spans = [_union([p]) for p in batch.column("spans").to_pylist()]
-            hit = [sum(b - a for a, b in s) for s in spans]
-            yield make(schema, batch.column("_key"), batch.column("n_words"), hit, [[list(x) for x in s] for s in spans], [sorted(x) for x in batch.column("items").to_pylist()], [h > 0 for h in hit])
-
-    out = made.select("_key", "n_words", "spans", "items").mapInArrow(opened, f"_key {kind}, n_words bigint, n_hit bigint, spans array<array<bigint>>, items array<string>, contaminated boolean")
-    return out.select("_key.*", "n_words", "n_hit", "spans", "items", "contaminated")
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    return made.withColumn("n_hit", hit).select("_key.*", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

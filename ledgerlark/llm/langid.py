@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import make, pieces
+from .arrow import column, keyed, make, pieces
 
 DIMENSIONS = 1024
 SEED = 20_240_601
-#: Trigram vectors kept in a worker: at 2 bytes an element this bounds the table at 64 MB.
-TABLE_TRIGRAMS = 32_768
+#: Trigram vectors kept in a worker: at a byte an element this bounds the table at 32 MB. Texts are bundled 2 MB at a time.
+TABLE_TRIGRAMS, BUNDLE_BYTES = 32_768, 2 << 20
 UNKNOWN = "und"
 _BITS = 21
 
@@ -35,7 +35,7 @@ class Encoder:
 
     def letter(self, code: int) -> np.ndarray:
         if (v := self.letters.get(code)) is None:
-            v = self.letters[code] = (np.random.default_rng([self.seed, code]).integers(0, 2, self.d, dtype=np.int8) * 2 - 1).astype(np.int16)
+            v = self.letters[code] = (np.random.default_rng([self.seed, code]).integers(0, 2, self.d, dtype=np.int8) * 2 - 1)
         return v
 
     def trigram(self, key: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def prototypes(docs: DataFrame, label: str = "lang", text: str = "text", dimensi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions, seed), {}
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", BUNDLE_BYTES):
             labels = np.array(batch.column("_label").to_pylist(), dtype=object)
             vectors, has = encoder.bundle(batch.column("_text").to_pylist())
             length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
@@ -137,14 +137,14 @@ def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: s
     else:
         mean, centred = np.zeros(dimensions), np.zeros((0, dimensions))
     sent = spark.sparkContext.broadcast((names, mean, centred))
-    source = docs.select(F.struct(*[docs[c] for c in carry or [key]]).alias("_key"), F.col(text).alias("_text"))
+    source, where = keyed(docs, key, text, carry)
     kind = source.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (names, mean, centred) = Encoder(dimensions, seed), sent.value
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, where, BUNDLE_BYTES):
             schema = pa.schema([batch.schema.field("_key"), ("lang_pred", pa.string()), ("score", pa.float64())])
-            vectors, has = encoder.bundle([t or "" for t in batch.column("_text").to_pylist()])
+            vectors, has = encoder.bundle([t or "" for t in column(batch, where).to_pylist()])
             length = np.linalg.norm(vectors, axis=1, keepdims=True)
             vectors = vectors / np.where(length > 0, length, 1)
             along = vectors @ mean / max(float(mean @ mean), 1e-300)
