@@ -44,13 +44,15 @@ def line_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _named(rows: DataFrame, scratch: Scratch, *by: str) -> DataFrame:
-    """rows (d, t, j, ...) whose `by` occurs more than once, with its first position as name c (written)."""
-    at = F.struct("d", "t", "j")
-    # repeats of one position (repeated rows) are no second occurrence
-    names = rows.groupBy(*by).agg(F.min(at).alias("c"), F.max(at).alias("z")).where("c <> z").select(*by, "c")
+    """rows (d, t, j, ...), one a position, whose `by` occurs more than once, with its first position as name c (written).
+
+    The rows are read twice, by the names and by the join, and written first: what makes them has an exchange.
+    """
+    rows = scratch.write(rows)
+    names = rows.groupBy(*by).agg(F.min(F.struct("d", "t", "j")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, "c")
     names = scratch.write(names)
     out = scratch.write(rows.join(names, list(by)).select("d", "t", "j", "c"))
-    scratch.drop(names)
+    scratch.drop(rows, names)
     return out
 
 
