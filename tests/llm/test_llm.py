@@ -108,6 +108,44 @@ def test_wide_radius(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == {i: i % 20 if i < 40 else i for i in range(41)}
 
 
+def brute_similar(texts, similarity=0.8):
+    """Components of the pairs whose sets of five-word shingles are similar enough."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_are_similar(spark, monkeypatch):
+    """Fingerprints that are near do not link texts of a similarity below 0.8, in whole tiles or cut ones."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    texts = []
+    for changed in (0, 1, 7, 8, 9, 10) * 4:  # similarities of 1, 0.95 and 0.69 to 0.59
+        base = [word() for _ in range(200)]
+        other = base[:]
+        for k in range(changed):
+            other[10 + 18 * k] = word()
+        texts += [" ".join(base), " ".join(other)]
+    roots = brute_similar(texts)
+    run = lambda **more: {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, list(enumerate(texts))), size=5, radius=24, words=2, by_length=0.8, **more).collect()}
+    assert run() != roots
+    assert run(similarity=0.8) == roots
+    monkeypatch.setattr(simhash, "SET_TILE_ROWS", 3)
+    monkeypatch.setattr(simhash, "BUCKETS", 2)
+    chain = [[word() for _ in range(200)]]
+    for k in range(19):  # each is similar to the one before
+        chain.append(chain[-1][:])
+        chain[-1][5 + 10 * k] = word()
+    texts = [" ".join(c) for c in chain]
+    assert run(similarity=0.8) == brute_similar(texts) == dict.fromkeys(range(20), 0)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 60)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)]
