@@ -33,6 +33,11 @@ from .scratch import Scratch
 SEEDS = (42, 0x9E3779B97F4A7C15)
 TILE_ROWS = 32768
 SEGMENTS = 4
+#: Up to this radius a fingerprint's first word is compared before the others.
+NARROW = 24
+#: Texts of fewer distinct shingles than SHORT differ in more bits at one similarity (ties of votes); where
+#: the similarity is checked, WIDER bits are added to their radius.
+SHORT, WIDER = 32, 8
 #: Tiles whose shingle sets are compared are smaller: they hold the sets.
 SET_TILE_ROWS, SET_TILE_SHINGLES = 2048, 1 << 20
 #: Texts that may be similar are told by so many buckets of their keys before they are read again.
@@ -60,7 +65,7 @@ def fingerprint(grams: list[bytes], seed: int = SEEDS[0]) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, sets: bool = False, grams: bool = False) -> DataFrame:
     """_key, f0 (, f1) signed 64-bit, n shingles: one row per row.
 
-    sets: n counts distinct shingles, and s is a hash of their set. grams: with the hashes of the distinct shingles.
+    sets: repeats of a shingle do not count, and s is a hash of the set. grams: with the hashes of the distinct shingles.
     """
     more = [("s", pa.binary(), "binary")] * sets + [("grams", pa.list_(pa.int64()), "array<bigint>")] * grams
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -71,12 +76,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             schema = pa.schema([batch.schema.field("_key"), *((f"f{k}", pa.int64()) for k in range(words)), ("n", pa.int64()), *((c, t) for c, t, _ in more)])
             rows = []
             for t in batch.column("_text").to_pylist():
-                g = shingles(t, size)
-                held = ()
+                g, held = shingles(t, size), ()
                 if sets:
-                    own = np.sort(np.fromiter((xxhash.xxh64_intdigest(x) for x in set(g)), np.uint64)).view(np.int64)
+                    g = list(set(g))
+                    own = np.sort(np.fromiter((xxhash.xxh64_intdigest(x) for x in g), np.uint64)).view(np.int64)
                     held = (hashlib.md5(own.tobytes()).digest(), own)[: len(more)]
-                rows.append((*(fingerprint(g, s) for s in SEEDS[:words]), len(set(g)) if sets else len(g), *held))
+                rows.append((*(fingerprint(g, s) for s in SEEDS[:words]), len(g), *held))
             table = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in range(words)]
             yield make(schema, batch.column("_key"), *table, *([r[k] for r in rows] for k in range(words, words + 1 + len(more))))
 
@@ -116,10 +121,14 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, counts_a: np.ndarray, counts
         if first >= last:
             continue
         apart = np.bitwise_count(a[0, lo:hi, None] ^ b[0, None, first:last])
+        # half of all pairs differ in 32 bits of a word: where the radius reaches that, one word alone rules out nothing
+        whole = len(a) if radius > NARROW and len(a) <= 3 else 1
+        for k in range(1, whole):
+            apart += np.bitwise_count(a[k, lo:hi, None] ^ b[k, None, first:last])
         x, y = np.nonzero(apart <= radius)
-        if len(a) > 1 and len(x):
+        if len(a) > whole and len(x):
             total = apart[x, y].astype(np.int64)
-            for k in range(1, len(a)):
+            for k in range(whole, len(a)):
                 total += np.bitwise_count(a[k, lo + x] ^ b[k, first + y])
             x, y = x[total <= radius], y[total <= radius]
         found_a.append(x + lo)
@@ -167,12 +176,13 @@ def alike(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray, similarity: flo
     return keep
 
 
-def links(prints: DataFrame, radius: int, scratch: Scratch, words: int = 1, by_length: float | None = None, tile_rows: int = TILE_ROWS, similarity: float | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int, scratch: Scratch, words: int = 1, by_length: float | None = None, tile_rows: int = TILE_ROWS, similarity: float | None = None, checked: bool = False) -> DataFrame:
     """A spanning forest, tile by tile, of the links among distinct fingerprints: (a, b) row ids.
 
     prints: id bigint, f0.., n. by_length: texts whose shingle counts have a smaller ratio than this
     are not compared, and lengths choose the tiles; else population counts do. similarity: of prints
     with `part` and `grams`, those of one part are linked whose shingle sets are so similar as well.
+    checked: the links are, or will be, held to a similarity, and short texts have a wider radius.
     """
     fields = [f"f{k}" for k in range(words)]
     steps = segment_steps(radius) if by_length is None else np.array([0, 1])
@@ -232,7 +242,8 @@ def links(prints: DataFrame, radius: int, scratch: Scratch, words: int = 1, by_l
             ids, f = rows[4], rows[5 : 5 + words].view(np.uint64)
             total = np.bitwise_count(f).sum(0, dtype=np.int64)
             order = cut + np.argsort(total[cut:], kind="stable")
-            x, y = near(f[:, :cut], f[:, order], radius, total[:cut], total[order])
+            reach = radius + WIDER if checked and rows[-1].min() < SHORT else radius
+            x, y = near(f[:, :cut], f[:, order], reach, total[:cut], total[order])
             y = order[y]
             keep = ids[x] != ids[y]
             if by_length is not None:
@@ -297,7 +308,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     distinct = scratch.write(prints.groupBy(*node).agg(F.min("_key").cast("bigint").alias("low"), F.min("n").alias("n"), *others))
     # nodes are named by their smallest key; those that only null keys have are linked to nothing
     named = distinct.select(F.col("low").alias("id"), *fields, "n", *(["s"] if exact else [])).where("id is not null")
-    edges = links(named, radius, scratch, words, by_length)
+    edges = links(named, radius, scratch, words, by_length, checked=exact)
     if exact:
         edges = scratch.write(edges)
         found = components(edges, scratch)
@@ -308,7 +319,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         buckets = F.broadcast(scratch.write(chosen.select(bucket("id").alias("_bucket")).distinct()))
         some = docs.select(key, text).where(F.col(key).isNotNull()).withColumn("_bucket", bucket(key)).join(buckets, "_bucket", "left_semi").select(key, text)
         sets = fingerprints(some, key, text, size, words, True, True).withColumn("id", F.col("_key").cast("bigint"))
-        edges = links(sets.join(chosen, ["id", "s"]), radius, scratch, words, by_length, similarity=similarity)
+        edges = links(sets.join(chosen, ["id", "s"]), radius, scratch, words, by_length, similarity=similarity, checked=True)
     found = components(edges, scratch)
     roots = scratch.write(
         distinct.join(found, F.col("low") == F.col("node"), "left").select(*node, F.coalesce("root", "low").alias("component_id"))

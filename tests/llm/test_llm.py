@@ -146,6 +146,29 @@ def test_near_duplicates_are_similar(spark, monkeypatch):
     assert run(similarity=0.8) == brute_similar(texts) == dict.fromkeys(range(20), 0)
 
 
+def test_near_duplicates_are_found(spark):
+    """Pairs of 0.8 and just above are found: texts that repeat themselves, short ones, long ones."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    line = [word() for _ in range(100)]
+    texts = [" ".join(line), " ".join(line * 2)]
+    cycle = [word() for _ in range(40)]
+    # one set of shingles at any length; its neighbour is near the longer one
+    texts += [" ".join(cycle * k) for k in (2, 3, 6)] + [" ".join(cycle * 6 + [word()])]
+    for few, many in ((4, 5), (8, 10), (12, 15), (40, 50), (160, 200), (400, 500)):
+        for _ in range(40 if many < 200 else 20):
+            base = [word() for _ in range(many + 4)]
+            texts += [" ".join(base), " ".join(base[: few + 4])]
+    # one line is written often in one of the two
+    base, often = [word() for _ in range(150)], [word() for _ in range(20)]
+    texts += [" ".join(base + often), " ".join(base + often * 12)]
+    roots = brute_similar(texts)
+    assert sum(i != r for i, r in roots.items()) >= 205
+    found = pipeline.near_duplicates(spark, docs(spark, list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(i for i, r in roots.items() if i == r)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 60)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)]
