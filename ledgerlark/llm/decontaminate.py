@@ -83,7 +83,7 @@ def search(text: str | None, tables: list[Search]) -> tuple[int, list[list[int]]
         for start, own in table.occurrences(w):
             found.append((start, start + table.length))
             items.update(own)
-    return len(w), _union(found), sorted(items, key=str)
+    return len(w), _union(found), sorted(items - {None}, key=str)
 
 
 def _union(spans: list[list[int]]) -> list[list[int]]:
@@ -101,6 +101,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """Each document's occurrences of benchmark windows: key (or the columns named by carry, untouched), n_words, n_hit, spans, items, contaminated.
 
     spans: array of [start, end) word intervals that are hit; items: ids found, as strings, sorted.
+    Items with a null id are searched for like any other: their hits count in spans, n_hit and
+    contaminated, but they have no id to be listed in items.
     Null texts have no words; items without words are never found; repeated items are all found;
     repeated documents each give a row; empty tables give no rows, or no hits.
 
@@ -109,14 +111,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits of a document, never its text, are brought together.
     """
     spark = docs.sparkSession
-    bench = items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
+    bench = items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     rounds = max(1, -(-2 * total // pattern_bytes)) if total > pattern_bytes else 1
     source, where = keyed(docs, key, text, carry)
     kind = source.schema["_key"].dataType.simpleString()
     made = None
     for k in range(rounds):
-        held = [(r["i"], r["t"]) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(rounds)) == k).toLocalIterator()]
+        held = [(r["i"], r["t"]) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == k).toLocalIterator()]
         sent = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,16 @@ def test_contamination(spark, pattern_bytes):
     assert again.where("contaminated").count() == 3
 
 
+@pytest.mark.parametrize("pattern_bytes", [1 << 20, 10])
+def test_items_without_id(spark, pattern_bytes):
+    """Items with a null id are found; their hits count, and they are not listed."""
+    bench = spark.createDataFrame([(None, "eins zwei drei"), (None, "vier"), (7, "vier"), (8, "acht")], "item_id long, text string")
+    texts = ["x Eins zwei, drei y", "vier", "eins zwei", "vier eins zwei drei acht"]
+    out = decontaminate.contamination(docs(spark, list(enumerate(texts))), bench, pattern_bytes=pattern_bytes)
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in out.collect()}
+    assert got == {0: (3, [], True), 1: (1, ["7"], True), 2: (0, [], False), 3: (5, ["7", "8"], True)}
+
+
 def test_language(spark):
     rng = random.Random(7)
     make = {"fr": "le la les des une pour dans avec être été où", "de": "der die das und nicht für über mit ein schön", "es": "el los las una para con señor niño que muy"}
