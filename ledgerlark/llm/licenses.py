@@ -73,14 +73,20 @@ def cue_words(sentences: dict[int, str]) -> list[str]:
 def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
     """Identifiers of the known sentences of a text, in text order.
 
-    A sentence ends at a line break, or at one of . ! ? followed by white space. Unknown sentences
-    are skipped. Only texts with a cue word are split; a text without any holds no known sentence.
+    A sentence begins and ends at a line break, or at one of . ! ? followed by white space, and may be
+    wrapped over lines: single line breaks within it, with comment signs around them, count as blanks,
+    while blank lines do not. Of the known sentences that begin at one place the longest counts. Unknown
+    sentences are skipped. Only texts with a cue word are searched; a text without any holds no known sentence.
     """
     lowered = F.lower(text)
-    parts = F.split(F.regexp_replace(lowered, r"([.!?])[ \t\r]+", "$1\n"), "\n")
+    # each line normalised; where a sentence ends, a line with a mark, which no known sentence has
+    parts = F.regexp_replace(F.translate(lowered, "\x01", " "), r"[.!?](?:[ \t\r]+|(?=\n))", "\n\x01\n")
+    parts = F.regexp_replace(F.regexp_replace(parts, r"[^a-z0-9\n\x01]+", " "), " ?\n ?", "\n")
+    normal = F.concat(F.lit("\n"), F.trim(parts), F.lit("\n"))
     known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
-    normal = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    either = "|".join(s.replace(" ", "[ \n]") for s in sorted(sentences.values(), key=lambda s: -len(s)))
+    hits = F.regexp_extract_all(normal, F.lit(f"\n({either})(?=\n)"), F.lit(1))
+    found = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     empty = F.array().cast("array<int>")
     return F.when(lowered.rlike("|".join(cue_words(sentences))), found).otherwise(empty)
 

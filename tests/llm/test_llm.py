@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -249,6 +250,27 @@ def test_licenses(spark):
     assert all(r.sentence_ids == [r.doc_id] for r in licenses.license_scan(docs(spark, every)).collect())
 
 
+@pytest.mark.parametrize(("start", "end"), [("", ""), (" * ", "\r"), ("# ", ""), ("// ", " ")])
+def test_wrapped_licenses(spark, start, end):
+    """Licence texts as they are usually written, wrapped at 70 columns, also in comments."""
+    say = {
+        "mit-text": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+                     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+                     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."],
+        "gpl3-header": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+        "bsd3-text": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+                      "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+                      "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+                      "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    }
+    lines_of = lambda paragraphs: [x for p in paragraphs for x in [*textwrap.wrap(p, 70), ""]]
+    texts = {r: "\n".join(start + x + end for x in lines_of(p)) for r, p in say.items()}
+    texts["none"] = "All rights\n\nreserved. All rights.\nReserved"  # neither over a blank line nor over a sentence's end
+    got = {r.doc_id: r.rules for r in licenses.license_scan(docs(spark, list(enumerate(texts.values())))).collect()}
+    assert [set(got[k]) - {"bsd2-text"} for k in range(4)] == [{"mit-text"}, {"gpl3-header"}, {"bsd3-text"}, set()]
+
+
 def brute_contamination(texts, items, window=10):
     find = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     pats = {}
