@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quantities as Q
-from ..functions.text import col, content_hash, plain_text, squeeze, strip, unaccent, verbatim_in_source, word_count, worth_segmenting
+from ..functions.text import col, content_hash, let, plain_text, squeeze, strip, unaccent, verbatim_in_source, word_count, worth_segmenting
 from .lexicon import escape, plain
 
 # --- Fixed values: article lines that go by how they begin, and short lines that go by what they hold ---
@@ -46,15 +46,15 @@ def clean_article(text: Column | str, prefixes: tuple[str, ...] = LINE_PREFIXES,
     """
     lines = F.transform(F.split(plain_text(F.coalesce(col(text), F.lit(""))), LINE_ENDS), lambda s: F.trim(F.regexp_replace(s, "[ \\t\\u00A0]+", " ")))
     kept = F.filter(lines, lambda s: ~is_boilerplate(s, prefixes, markers))
-    # the last line before each that is not empty, by one pass
-    fold = F.aggregate(
-        kept,
-        F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when((s != "") & F.coalesce(s == a["last"], F.lit(False)), a).otherwise(
-            F.struct(F.when(s != "", s).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(s)).alias("out"))
-        ),
-    )
-    return strip(F.regexp_replace(F.array_join(fold["out"], "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(let(kept, _without_repeats), "\n"), "\n{3,}", "\n\n"))
+
+
+def _without_repeats(lines: Column) -> Column:
+    """Each line that is not empty is compared with the one before it that is not; empty lines stay. Linear in the lines."""
+    full = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda r: r["s"] != "")
+    again = let(full, lambda f: F.filter(f, lambda r, k: (k > 0) & (r["s"] == F.get(f, k - 1)["s"])))
+    left = lambda gone: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["i"])
+    return let(again, lambda gone: F.when(F.size(gone) > 0, F.transform(left(gone), lambda i: F.get(lines, i))).otherwise(lines))
 
 
 # --- Fixed values: signs of cut texts, for texts, press extracts, pages and rests of subscription offers ---

@@ -12,7 +12,7 @@ from ..operators import lexicon as L
 from ..operators import similarity as S
 from . import analysis
 from .registry import Tables, query
-from .texts import plain_sql
+from .texts import WORTH, plain_sql, quote_sql
 
 _CLAIMS = """(SELECT event_id AS id, user_id, event_type AS kind, value, CASE WHEN event_id % 11 <> 0 THEN 's' || event_id % 4 END AS speaker,
   CASE event_id % 3 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' END AS party, CASE WHEN event_id % 13 <> 0 THEN ts END AS at FROM events)"""
@@ -100,24 +100,55 @@ def _(t: Tables) -> DataFrame:
     return L.classify_themes(t.documents.select("doc_id", "text"), LEXICON).select("doc_id", "theme", "subtheme", "secondary", "score")
 
 
-@query("d12_genre", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'interview' WHEN 1 THEN 'tribune' WHEN 2 THEN 'communique' END AS genre FROM documents")
-def _(t: Tables) -> DataFrame:
-    from ..functions.text import normal
+def _alternatives(terms) -> str:
+    return "|".join(sorted(terms, key=lambda x: (-len(x), x)))
 
-    cue = F.get(F.array(F.lit("invité de "), F.lit("une carte blanche "), F.lit("communiqué "), F.lit("")), F.col("doc_id") % 4)
-    return t.documents.select("doc_id", L.genre(normal(F.concat(cue, F.regexp_replace("text", "[^ ]{6,}", "")))).alias("genre"))
 
+# every text whole; a cue before it, or none
+_CUE = "CASE doc_id % 8 WHEN 0 THEN 'invité de ' WHEN 2 THEN 'une carte blanche ' WHEN 4 THEN 'communiqué ' ELSE '' END || text"
+_GENRES = " ".join(f"WHEN regexp_matches(n, '(^|[^a-z0-9_])({_alternatives(terms)})($|[^a-z0-9_])') THEN '{name}'" for name, terms in L.GENRES.items())
 
-@query(
-    "d11_relevance",
-    """SELECT doc_id, doc_id % 4 <> 3 AS relevant, CASE doc_id % 4 WHEN 0 THEN 'prise_de_parole' WHEN 1 THEN 'prise_de_parole' WHEN 2 THEN 'mention' END AS nature, CASE doc_id % 4 WHEN 0 THEN 'Jeanne Dubreuil' ELSE '' END AS people, CASE WHEN doc_id % 4 IN (1, 2) THEN 'PX' ELSE '' END AS keywords FROM documents""",
-)
+
+@query("d12_genre", f"WITH n AS (SELECT doc_id, regexp_replace({plain_sql(_CUE)}, '\\s+', ' ', 'g') AS n FROM documents) SELECT doc_id, CASE {_GENRES} END AS genre FROM n")
+def _(t: Tables) -> DataFrame:
+    m = F.col("doc_id") % 8
+    cue = F.when(m == 0, "invité de ").when(m == 2, "une carte blanche ").when(m == 4, "communiqué ").otherwise("")
+    return t.documents.select("doc_id", L.genre(normal(F.concat(cue, "text"))).alias("genre"))
+
+
+# every text whole, with what someone says after it; the first name and the party occur in the texts themselves
+_PHRASES = (
+    " Selon Jeanne Dubreuil, tout va.", " Le PX dénonce la chose.", " Le PX est loin.", "", " Dubreuil, dans un long et calme entretien.", " Dubreuil parle bas, et longtemps apres quelque autre declare.",
+    " Le parti xeno ne finalement pointe rien.", " Paul Martin a promis; Martin reste.", " Jeanne Dubreuil est accusée.",
+)
+_INDEX = {"figures_noyau": ["the"], "parties": ["parti xeno", "les"], "sigles": ["px"]}
+_NAMES = ["Jeanne Dubreuil", "Paul Martin"]
+#: Letters beyond ASCII become z, so that a boundary of RE2 is one between letters.
+_NORM = f"regexp_replace(trim(regexp_replace({plain_sql('text || said')}, '\\s+', ' ', 'g')), '[ß-ɏ]', 'z', 'g')"
+
+
+def _relevance_sql() -> str:
+    names, parties = ["jeanne dubreuil", "paul martin", "dubreuil", "the"], ["parti xeno", "les", "px"]
+    speaker = _alternatives(names + parties)
+    saying = _alternatives([*L.STRONG_VERBS, *L.INTERVIEW_MARKERS])
+    said = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES))
+    distinct = lambda terms: f"list_sort(list_distinct(regexp_extract_all(n, '\\b(?:{_alternatives(terms)})\\b')))"
+    return f"""WITH d AS (SELECT doc_id, text, CASE doc_id % {len(_PHRASES)} {said} END AS said FROM documents), t AS (SELECT doc_id, {_NORM} AS n FROM d),
+    r AS (SELECT doc_id, n, {distinct(names)} AS who, {distinct(parties)} AS which, string_split_regex(n, '\\b(?:{speaker})\\b') AS gaps, regexp_extract_all(n, '\\b(?:{speaker})\\b') AS found FROM t),
+    m AS (SELECT doc_id, n, length(m) AS size, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (SELECT doc_id, n, unnest(gaps[: len(found)]) AS gap, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM r)),
+    near AS (SELECT doc_id, bool_or(regexp_matches(substr(n, greatest(stop - size - {L.NEAR}, 0) + 1, stop + {L.NEAR} - greatest(stop - size - {L.NEAR}, 0)), '\\b(?:{saying})\\b')) AS near FROM m GROUP BY doc_id),
+    v AS (SELECT doc_id, who, which, len(who) + len(which) > 0 AS relevant, coalesce(near, false) OR regexp_matches(n, '\\b(?:selon|d apres)\\s+(?:[a-z''-]+\\s+){{0,2}}(?:{speaker})\\b')
+      OR regexp_matches(n, '\\b(?:{speaker})\\b\\s+(?:(?:a|ont|se|s|y|ne|n|qui)\\s+)?(?:[a-z]+ement\\s+)?(?:{_alternatives(L.SUBJECT_VERBS)})\\b') AS said FROM r LEFT JOIN near USING (doc_id))
+    SELECT doc_id, relevant, CASE WHEN relevant THEN CASE WHEN said THEN 'prise_de_parole' ELSE 'mention' END END AS nature,
+      list_aggregate(list_transform(who, lambda w: CASE w WHEN 'the' THEN 'The' WHEN 'paul martin' THEN 'Paul Martin' ELSE 'Jeanne Dubreuil' END), 'string_agg', ',') AS people,
+      list_aggregate(list_sort(list_transform(which, lambda w: CASE WHEN length(w) <= 3 THEN upper(w) ELSE w END)), 'string_agg', ',') AS keywords FROM v"""
+
+
+@query("d11_relevance", f"SELECT doc_id, relevant, nature, coalesce(people, '') AS people, coalesce(keywords, '') AS keywords FROM ({_relevance_sql()})")
 def _(t: Tables) -> DataFrame:
-    text = F.get(F.array(F.lit("Selon Jeanne Dubreuil, tout va."), F.lit("Le PX dénonce la chose."), F.lit("Le PX est loin."), F.lit("Rien à dire.")), F.col("doc_id") % 4)
-    index = {"figures_noyau": [], "parties": ["parti xeno"], "sigles": ["px"]}
-    out = L.assess_relevance(t.documents.select("doc_id", text.alias("text")), ["Jeanne Dubreuil", "Paul Martin"], index)
-    # both forms of a name show the same person, so they are made distinct here
-    return out.select("doc_id", "relevant", "nature", F.array_join(F.array_distinct("personalities"), ",").alias("people"), F.array_join("keywords", ",").alias("keywords"))
+    said = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES)).cast("int"))
+    out = L.assess_relevance(t.documents.select("doc_id", F.concat("text", said).alias("text")), _NAMES, _INDEX)
+    return out.select("doc_id", "relevant", "nature", F.array_join("personalities", ",").alias("people"), F.array_join("keywords", ",").alias("keywords"))
 
 
 # ---------------------------------------------------------------- quantities and claims
@@ -194,13 +225,17 @@ def _(t: Tables) -> DataFrame:
     return X.apply_refinements(claims, r, _referents(t))
 
 
+# a segment is the text's first 60 characters, of every seventh source with another word before them
 @query(
     "d07_declarations",
-    "SELECT doc_id AS source_id, left(text, 60) AS verbatim, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'economie' END AS theme FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 3 <> 0 AND NOT regexp_matches(text, '[^a-zA-Z0-9 .,]') AND len(regexp_extract_all(text, '[A-Za-z]{2,}')) >= 5",
+    f"""WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'autrement ' ELSE '' END || left(text, 60) AS said FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 3 <> 0)
+    SELECT doc_id AS source_id, said AS verbatim, CASE WHEN doc_id % 2 <> 0 THEN 'economie' END AS theme FROM s
+    WHERE {WORTH.format('text')} AND length({quote_sql('said')}) >= 12 AND contains({quote_sql('text')}, {quote_sql('said')})""",
 )
 def _(t: Tables) -> DataFrame:
-    src = t.documents.where(~F.col("text").rlike("[^a-zA-Z0-9 .,]")).select(F.col("doc_id").alias("source_id"), "text", F.lit(None).cast("timestamp").alias("published_at"))
-    segments = src.select("source_id", F.substring("text", 1, 60).alias("verbatim"), F.when(F.col("source_id") % 2 == 0, "autre").otherwise("economie").alias("theme"), (F.col("source_id") % 3 != 0).alias("check_worthy"))
+    src = t.documents.select(F.col("doc_id").alias("source_id"), "text", F.lit(None).cast("timestamp").alias("published_at"))
+    said = F.concat(F.when(F.col("source_id") % 7 == 0, "autrement ").otherwise(""), F.substring("text", 1, 60))
+    segments = src.select("source_id", said.alias("verbatim"), F.when(F.col("source_id") % 2 == 0, "autre").otherwise("economie").alias("theme"), (F.col("source_id") % 3 != 0).alias("check_worthy"))
     return X.declarations(src, src.where("source_id % 10 = 0"), segments).select("source_id", "verbatim", "theme")
 
 
@@ -212,7 +247,7 @@ def _(t: Tables) -> DataFrame:
     title = F.when(F.col("doc_id") % 4 == 0, "Le PX est loin").otherwise("Rien")
     none = F.lit(None).cast("string")
     link = F.concat(F.lit("http://p/"), F.col("doc_id").cast("string"))
-    e = t.documents.select(F.lit("s").alias("media_source_id"), title.alias("title"), link.alias("link"), F.lit("").alias("summary"), none.alias("content"), F.lit("Un corps d'article.").alias("body"), F.lit(None).cast("timestamp").alias("published_at"))
+    e = t.documents.select(F.lit("s").alias("media_source_id"), title.alias("title"), link.alias("link"), F.lit("").alias("summary"), none.alias("content"), F.col("text").alias("body"), F.lit(None).cast("timestamp").alias("published_at"))
     known = t.documents.where("doc_id % 12 = 0").select(F.sha2(link, 256).alias("url_hash"))
     out = X.press_articles(e, known, [], {"figures_noyau": [], "parties": [], "sigles": ["px"]}, F.lit("2026-01-01").cast("timestamp"))
     return out.select("url_hash", "nature", "published_estimated")
@@ -235,9 +270,9 @@ def _(t: Tables) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("j13_fusion", f"WITH {_VECTORS} SELECT i.vec_id AS a, a.vec_id AS b, round({_COS}, 6) AS score FROM v i JOIN v a ON i.vec_id < a.vec_id AND a.vec_id < 500 WHERE {_COS} >= 0.3")
+@query("j13_fusion", f"WITH {_VECTORS} SELECT i.vec_id AS a, a.vec_id AS b, round({_COS}, 6) AS score FROM v i JOIN v a ON i.vec_id < a.vec_id WHERE {_COS} >= 0.3")
 def _(t: Tables) -> DataFrame:
-    return S.fusion_candidates(t.embeddings.where("vec_id < 500"), 0.3, "vec_id").withColumn("score", F.round("score", 6))
+    return S.fusion_candidates(t.embeddings, 0.3, "vec_id").withColumn("score", F.round("score", 6))
 
 
 @query("j14_o09_top_anchors", f"WITH {_VECTORS}, s AS (SELECT a.vec_id, round({_COS}, 4) AS score FROM v i, v a WHERE i.vec_id = 0) SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10")
@@ -255,7 +290,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("a19_d15_near_duplicate_groups")
 def _(t: Tables) -> DataFrame:
-    return S.near_duplicate_groups(t.embeddings, 0.3, "label", "vec_id").select("label", "pivot", "size")
+    found = S.near_duplicate_members(t.embeddings, 0.3, "label", "vec_id")
+    return found.groupBy("label", "pivot").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
 
 
 @query(
@@ -267,7 +303,13 @@ def _(t: Tables) -> DataFrame:
     return out.groupBy("theme", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d14_enrichment")
+@query(
+    "d14_enrichment",
+    f"""WITH {_VECTORS}, lex AS ({_lexicon_sql()}), s AS (SELECT i.vec_id AS id, a.vec_id AS anchor, {_COS} AS score FROM v i JOIN v a ON a.vec_id < 20 AND i.vec_id >= 20),
+    near AS (SELECT id, 'r' || arg_max(anchor, score) AS referent FROM s GROUP BY id HAVING max(score) >= 0.2)
+    SELECT c.vec_id AS id, coalesce(lex.theme, CASE WHEN referent IS NOT NULL THEN 'th' END) AS theme, coalesce(lex.subtheme, CASE WHEN referent IS NOT NULL THEN 'sub' END) AS subtheme, referent AS referent_key
+    FROM embeddings c JOIN lex ON lex.doc_id = c.vec_id LEFT JOIN near ON near.id = c.vec_id WHERE c.vec_id >= 20""",
+)
 def _(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     refs = t.embeddings.where("vec_id < 20").select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("key"), F.lit("th").alias("theme"), F.lit("sub").alias("subtheme"), "embedding")
@@ -275,7 +317,16 @@ def _(t: Tables) -> DataFrame:
     return analysis.enrich(claims, LEXICON, refs, 0.2).select("id", "theme", "subtheme", "referent_key")
 
 
-@query("d29_analysis_run")
+@query(
+    "d29_analysis_run",
+    f"""WITH x AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'view'),
+    q AS (SELECT event_id, user_id, ts, 'cout' AS r, (event_id % 90 + 1)::DOUBLE AS value, 'milliards_eur' AS unit FROM x UNION ALL SELECT event_id, user_id, ts, 'part', event_id % 50 + 0.5::DOUBLE, 'pct' FROM x WHERE event_id % 2 = 0
+      UNION ALL SELECT event_id, user_id, ts, 'nombre', (event_id + 100000)::DOUBLE, 'nb' FROM x WHERE event_id % 3 = 0),
+    c AS (SELECT 'p' || event_id AS id, r, unit, value, c_name AS speaker, CASE WHEN c_custkey % 3 = 0 THEN 'FIGURE' ELSE c_mktsegment END AS party, ts AS at FROM q JOIN customer ON c_custkey = user_id
+      UNION ALL SELECT 'a' || page_id, 'cout', 'millions_eur', (page_id + 1)::DOUBLE, 'Jeanne', NULL, NULL FROM pages)
+    SELECT a.r AS referent_key, {_TYPE} AS type, count(*) AS n FROM c a JOIN c b ON a.r = b.r AND a.unit = b.unit AND a.id < b.id
+    WHERE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 1.0::DOUBLE) > 0.02 GROUP BY 1, 2""",
+)
 def _(t: Tables) -> DataFrame:
     _, edges = analysis.run(_posts(t), _people(t), _no_articles(t), _referents(t), TRIGGERS)
     return edges.groupBy("referent_key", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -283,15 +334,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("n212_streaming_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t: Tables) -> DataFrame:
-    import tempfile
     import uuid
 
-    from ..sources.sinks import insert_absent
+    from ..session import shared_dir
+    from ..streaming.ingest import ingest, landed_stream
 
-    # the micro-batch sink, applied twice to the same rows: a replay adds nothing
-    own = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlark-")
-    path = f"{own.rstrip('/')}/dedup-{uuid.uuid4().hex}"
-    rows = t.events.select("user_id", "event_type", F.concat_ws(":", "user_id", "event_type").alias("k"))
-    insert_absent(rows, path, "k")
-    insert_absent(rows, path, "k")
-    return t.spark.read.parquet(path).select("user_id", "event_type")
+    path = f"{shared_dir(t.spark)}/dedup-{uuid.uuid4().hex}"
+    keyed = lambda s: s.select("user_id", "event_type", F.concat_ws(":", "user_id", "event_type").alias("k"))
+    source = landed_stream(t.spark, t.path("events"), t.events.schema)
+    # two runs with checkpoints of their own: the second reads everything again and adds nothing
+    for run in ("first", "again"):
+        ingest(source, keyed, f"{path}/table", "k", f"{path}/{run}").awaitTermination()
+    return t.spark.read.parquet(f"{path}/table").select("user_id", "event_type")

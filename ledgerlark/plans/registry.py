@@ -22,6 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self._spark, self._dir, name)
 
+    def path(self, name: str) -> str:
+        return f"{self._dir}/{name}.parquet"
+
     @property
     def spark(self) -> SparkSession:
         return self._spark

@@ -401,11 +401,11 @@ def _(t: Tables) -> DataFrame:
     "d24_o07_freshness",
     f"""WITH s AS (SELECT c_custkey, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
        a AS (SELECT c_custkey, round((epoch_us({NOW}) - epoch_us(last)) / 3.6e9, 1) AS age_hours FROM s)
-       SELECT c_custkey, age_hours, age_hours IS NULL OR age_hours > 240000 AS stale FROM a ORDER BY age_hours DESC NULLS FIRST, c_custkey LIMIT 100""",
+       SELECT c_custkey, age_hours, age_hours IS NULL OR age_hours > 240000 AS stale FROM a ORDER BY age_hours DESC NULLS FIRST, c_custkey""",
 )
 def _(t: Tables) -> DataFrame:
     last = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.max("o_orderdate").alias("last_collected_at"))
-    return temporal.freshness(last, now(), stale_hours=240000).select("c_custkey", "age_hours", "stale").orderBy(F.desc_nulls_first("age_hours"), "c_custkey").limit(100)
+    return temporal.freshness(last, now(), stale_hours=240000).select("c_custkey", "age_hours", "stale").orderBy(F.desc_nulls_first("age_hours"), "c_custkey")
 
 
 _STREAKS = """WITH l AS (SELECT user_id, max(event_id) FILTER (event_type <> 'error') AS ok, arg_max(event_type, event_id) AS last_status FROM events GROUP BY 1)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +26,44 @@ def get_spark(app: str = "ledgerlark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application: their Python workers import it from there, wherever the driver started."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlark_shipped", False):
+        return
+    context._ledgerlark_shipped = True
+    package = os.path.dirname(os.path.abspath(__file__))
+    # the driver's own copy, which Spark serves to the executors
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlark-"), "ledgerlark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own, which is then set."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if own:
+        return own.rstrip("/")
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get().rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read back: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; the path may be in any store that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,6 +105,56 @@ def archive_stats(selected: DataFrame, receipts: DataFrame) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("considered"), F.count("snapshot_url").alias("archived"), F.count_if(F.coalesce("created", F.lit(False))).alias("created"), F.count_if(F.col("snapshot_url").isNull()).alias("failed"))
 
 
+def snapshots(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -> DataFrame:
+    """Each page as folder/<sha256 of its address>.html; (url, path, created), where created is false if the file was there.
+
+    Written by the tasks when the result is used, through pyarrow, so the folder may be in any store
+    that it reaches; on a cluster it must be a shared one. A file appears whole, under its name, by a
+    rename: a task that runs again finds it. Rows without address or html give nothing.
+    """
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where("url is not null and html is not null")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root)
+        for batch in batches:
+            paths, created = [], []
+            for address, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                path = f"{root.rstrip('/')}/{hashlib.sha256(address.encode()).hexdigest()}.html"
+                new = store.get_file_info(path).type == fs.FileType.NotFound
+                if new:
+                    part = f"{path}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as out:
+                        out.write(page.encode())
+                    store.move(part, path)
+                paths.append(path), created.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(paths, pa.string()), pa.array(created, pa.bool_())], ["url", "path", "created"])
+
+    return rows.mapInArrow(write, "url string, path string, created boolean")
+
+
+#: Rows of a dimension table that may become one JSON document.
+DOCUMENT_ROWS = 100_000
+
+
+def json_document(df: DataFrame, path: str, *order: str) -> None:
+    """A dimension table (people, sources, cookies) as one JSON array in one text file below `path`; a larger table is refused."""
+    rows = df.select(F.row_number().over(Window.orderBy(*order)).alias("k"), F.struct(*df.columns).alias("r")) if order else df.select(F.lit(0).alias("k"), F.struct(*df.columns).alias("r"))
+    if df.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+        raise ValueError(f"more than {DOCUMENT_ROWS} rows; write lines instead")
+    every = F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("r", {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"])
+    rows.agg(F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def json_lines(df: DataFrame, path: str) -> None:
+    """A table of any size as JSON lines, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def conform(df: DataFrame, schema) -> DataFrame:
     """Columns of a schema, missing ones as null: additive evolution."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])

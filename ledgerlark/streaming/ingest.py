@@ -7,11 +7,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..sources.sinks import foreach_batch
 
 
-def landed_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
+def landed_stream(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 

@@ -35,13 +35,36 @@ def test_claims(spark):
     assert [(r.id, r.referent_key, r.value) for r in rows] == [(1, "cout", 40.0)]
 
 
-def test_relevance():
-    r = L.RelevanceIndex(["Jordan Bardella", "Marine Le Pen", "Paul Martin"], INDEX)
-    assert r.assess("Selon Marine Le Pen, c'est fini")[1] == "prise_de_parole"
-    assert r.assess("Le RN dénonce la réforme")[1] == "prise_de_parole"
-    assert r.assess("Le RN est dénoncé")[1] == "mention"
-    assert not r.assess("La France a tranché")[0] and not r.assess("un martin-pêcheur")[0] and not r.assess(None)[0]
-    assert r.assess("Le RN est là")[5] == ["RN"]
+CASES = [
+    ("Le RN présente son programme", True, "mention"),
+    ("Jordan Bardella tient un meeting", True, "mention"),
+    ("La météo sera belle sur la Bretagne", False, None),
+    ("La France a tranché lors du scrutin", False, None),
+    ("Le martin-pêcheur niche au bord", False, None),
+    ("Selon Marine Le Pen, l'immigration coûte trop cher", True, "prise_de_parole"),
+    ("Le RN dénonce la politique migratoire", True, "prise_de_parole"),
+    ("Le RN ne vraiment dénonce rien", True, "prise_de_parole"),
+    ("Le RN est dénoncé par la majorité", True, "mention"),
+    ("Bardella propose une loi", True, "prise_de_parole"),
+    ("Marine Le Pen, dans un entretien, détaille sa position", True, "prise_de_parole"),
+    ("Le RN progresse dans les sondages selon une étude récente", True, "mention"),
+    ("Le RN " + "x" * 30 + " affirme", True, "mention"),
+    ("Le RN " + "x" * 21 + " affirme", True, "prise_de_parole"),  # the verb ends with the thirtieth character
+    ("Le RN " + "x" * 19 + " affirmerait", True, "prise_de_parole"),  # what lies beyond is cut off, so a word may begin like a verb
+    ("", False, None),
+    (None, False, None),
+]
+
+
+def test_relevance(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "id int, text string")
+    got = {r.id: r for r in L.assess_relevance(df, ["Jordan Bardella", "Marine Le Pen", "Paul Martin"], INDEX).collect()}
+    for i, (text, relevant, nature) in enumerate(CASES):
+        assert (got[i].relevant, got[i].nature, got[i].is_statement) == (relevant, nature, nature == "prise_de_parole"), text
+    assert got[0].keywords == ["RN"] and got[5].personalities == ["Marine Le Pen"] and got[1].personalities == ["Jordan Bardella"]
+    both = spark.createDataFrame([("Bardella, Jordan Bardella au micro",)], "text string")
+    r = L.assess_relevance(both, ["Jordan Bardella"], {"figures_noyau": [], "parties": [], "sigles": []}).first()
+    assert r.personalities == ["Jordan Bardella", "Jordan Bardella"] and r.genre == "interview"
 
 
 def test_themes(spark):
@@ -95,6 +118,29 @@ def test_groups(spark):
     assert [tuple(r.members) for r in S.near_duplicate_groups(df).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_groups_by_first_fit(spark, monkeypatch, threshold):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(60, 3)), np.repeat(rng.normal(size=(1, 3)), 30, 0), np.zeros((2, 3))])
+    rows = [(i, "ab"[i % 3 > 0] if i % 7 else None, x.tolist()) for i, x in enumerate(v)] + [(1000, "a", None)]
+    df = spark.createDataFrame(rows, "id int, referent_key string, embedding array<double>").repartition(3)
+    want = []
+    for block in ("a", "b", None):
+        groups = []
+        for i, b, x in rows[:-1]:
+            if b != block:
+                continue
+            near = lambda p: float(np.dot(x, p) / ((np.linalg.norm(x) * np.linalg.norm(p)) or 1)) >= threshold  # noqa: B023, E731
+            first = next((g for g in groups if near(v[g[0]])), None)
+            groups.append([i]) if first is None else first.append(i)
+        want += [(block or "", g[0], g) for g in groups if len(g) > 1]
+    got = S.near_duplicate_groups(df, threshold).collect()
+    assert sorted((r.referent_key or "", r.pivot, list(r.members)) for r in got) == sorted(want) and all(r.size == len(r.members) for r in got)
+    monkeypatch.setattr(S, "TILE_ROWS", 16)  # blocks of several tiles
+    got = S.near_duplicate_groups(df, threshold).collect()
+    assert sorted((r.referent_key or "", r.pivot, list(r.members)) for r in got) == sorted(want)
+
+
 def test_cosine_of_nothing(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([], [1.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in df.select(S.cosine("a", "b")).collect()] == [0.0, 0.0, 1.0]
@@ -162,3 +208,78 @@ def test_schemas(spark):
     got = sinks.conform(spark.createDataFrame([(1,)], "id long"), schemas.schema("themes"))
     assert got.columns[0] == "id" and len(got.columns) == 6
     assert [tuple(r) for r in sinks.schema_diff(spark, {"a": ["x"], "b": []}, {"a": []}).collect()] == [("b", None), ("a", "x")]
+
+
+def test_landed_files(spark, tmp_path):
+    assert landed.normalize_db_url("postgres://h/d") == "jdbc:postgresql://h/d" and landed.normalize_db_url("sqlite:///x.db") == "jdbc:sqlite:x.db" and landed.normalize_db_url("jdbc:h2:mem") == "jdbc:h2:mem"
+    (tmp_path / "pool.json").write_text('{"figures": [{"name": "A", "handle": null}, {"name": "B", "handle": "b"}]}', encoding="utf-8")
+    rows = landed.json_rows(spark, str(tmp_path / "pool.json")).select(F.explode("figures").alias("f")).select("f.*")
+    assert sorted((r.name, r.handle) for r in rows.collect()) == [("A", None), ("B", "b")]
+    (tmp_path / "m.csv").write_text('name,url\n"Le, Journal",http://j\nvide,\n', encoding="utf-8")
+    assert sorted((r.name, r.url) for r in landed.csv_rows(spark, str(tmp_path / "m.csv")).collect()) == [("Le, Journal", "http://j"), ("vide", None)]
+
+
+def test_embed(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "x" * 2000)], "id int, text string")
+    got = {r.id: r.embedding for r in S.embed(df, lambda texts: [[float(len(t)), float(len(texts))] for t in texts], batch=2).collect()}
+    assert {i: v[0] for i, v in got.items()} == {1: 3.0, 2: 0.0, 3: 1500.0} and all(v[1] <= 2 for v in got.values())
+
+
+def test_anchor_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k int, embedding array<double>")
+    items, anchors = df.where("k >= 30").withColumnRenamed("k", "item"), df.where("k < 30").withColumnRenamed("k", "anchor")
+    run = lambda: sorted(map(tuple, S.nearest_anchor(items, anchors, "item", "anchor", 0.1).collect()))
+    pairs = lambda: [tuple(r) for r in S.fusion_candidates(df, 0.5, "k").collect()]
+    whole, fused = run(), pairs()
+    monkeypatch.setattr(S, "ANCHOR_ROWS", 7)
+    assert run() == whole and len(whole) > 10 and pairs() == fused and len(fused) > 10
+    monkeypatch.setattr(S, "MOST_PARTS", 2)
+    with pytest.raises(ValueError):
+        run()
+
+
+def test_sniffers_and_time(spark):
+    from ledgerlark.functions import text as T
+
+    page = '<div class="timeline-item">' + "x" * 2000
+    df = spark.createDataFrame([("  <?xml version='1.0'?><rss>",), ("<html>",), (page,), ("timeline-item",)], "x string")
+    assert [tuple(r) for r in df.select(T.looks_like_rss("x"), T.looks_like_timeline("x")).collect()] == [(True, False), (False, False), (False, True), (False, False)]
+
+
+def test_files_written(spark, tmp_path):
+    import hashlib
+    import json
+
+    pages = spark.createDataFrame([("http://a", "<p>é</p>"), ("http://b", ""), (None, "x"), ("http://c", None)], "url string, html string").repartition(3)
+    folder = str(tmp_path / "snap")
+    first = {r.url: r.created for r in sinks.snapshots(pages, folder).collect()}
+    again = {r.url: (r.created, r.path) for r in sinks.snapshots(pages.withColumn("html", F.lit("changed")).where("url <> 'http://c'"), "file://" + folder).collect()}
+    assert first == {"http://a": True, "http://b": True} and {u: c for u, (c, _) in again.items()} == {"http://a": False, "http://b": False}
+    assert (tmp_path / "snap" / (hashlib.sha256(b"http://a").hexdigest() + ".html")).read_text(encoding="utf-8") == "<p>é</p>" and len(list((tmp_path / "snap").iterdir())) == 2
+    people = spark.createDataFrame([(2, "B", None), (1, "A", "a")], "id int, name string, handle string")
+    sinks.json_document(people, str(tmp_path / "pool"), "id")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "pool").glob("part-*"))) == [{"id": 1, "name": "A", "handle": "a"}, {"id": 2, "name": "B", "handle": None}]
+    sinks.json_lines(people, str(tmp_path / "lines"))
+    assert sorted(r.id for r in landed.json_rows(spark, str(tmp_path / "lines")).collect()) == [1, 2]
+
+
+def test_article_lines(spark):
+    text = "\n".join(["Un titre", "Un titre", "", "Un titre", "Lire aussi : x", "Un titre", "Suite", "", "", "", "Suite", "Fin"])
+    got = spark.createDataFrame([(text,), (None,), ("Lire aussi x",), ("a\n" * 30_000,)], "t string").select(X.clean_article("t")).collect()
+    assert [r[0] for r in got] == ["Un titre\n\nSuite\n\nFin", "", "", "a"]
+
+
+def test_package_reaches_workers(spark):
+    from ledgerlark.session import ship
+
+    ship(spark), ship(spark)
+
+    def where(batches):
+        import sys
+
+        for b in batches:
+            yield b.assign(x=any("ledgerlark.zip" in p for p in sys.path))
+
+    assert spark.range(1).selectExpr("false as x").mapInPandas(where, "x boolean").first()[0]
