@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows go to Python and back in pieces of about this many bytes, so that long texts do not pile up in a batch.
@@ -41,5 +41,10 @@ def keyed(docs: DataFrame, key: str, text: str, carry: list[str] | None) -> tupl
     return frame, f"_key.{text}" if text in own else "_text"
 
 
+def carried(key: str, carry: list[str] | None) -> Column:
+    """What stands for a document in a result: its key, or the carried columns as one struct `row`, so that their names clash with no others."""
+    return F.col("_key").alias("row") if carry else F.col("_key").getField(key).alias(key)
+
+
 def make(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import column, keyed, make, pieces
+from .arrow import carried, column, keyed, make, pieces
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,6 +30,8 @@ POSITION_BITS = 36
 PLACE = (1 << POSITION_BITS) - 1
 #: Distinct pre-tokens kept encoded in a worker; the table starts anew beyond that.
 CACHE_TOKENS = 500_000
+#: Longer pre-tokens are encoded anew each time, so that the cache is bounded in bytes too.
+CACHED_LETTERS = 64
 ID_BITS = 20
 
 
@@ -112,7 +114,9 @@ class Codec(dict):
         first = self.first
         ids = merge([first[b] for b in token.encode()], self.ranks, self.merged)
         packed = array.array("I", ids)
-        self[token] = value = packed.tobytes()
+        value = packed.tobytes()
+        if len(token) <= CACHED_LETTERS:
+            self[token] = value
         return value
 
     def encode(self, text: str) -> bytes:
@@ -132,7 +136,7 @@ def codec(spec: str, cache_tokens: int = CACHE_TOKENS) -> Codec:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, cache_tokens: int = CACHE_TOKENS) -> DataFrame:
-    """Each text's identifiers and what they decode to: key (or the columns named by carry, untouched), n_tokens, token_bytes, decoded, round_trip.
+    """Each text's identifiers and what they decode to: key (or the columns named by carry, untouched, as a struct `row`), n_tokens, token_bytes, decoded, round_trip.
 
     `vocabulary` is the path, on the driver, of a byte-level BPE file; its content travels with the
     tasks (1.6 MB, bounded by the vocabulary, not by the data). token_bytes holds the identifiers as
@@ -155,7 +159,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
             yield make(schema, batch.column("_key"), [len(p) // 4 for p in packed], packed, decoded, [a == b for a, b in zip(texts, decoded, strict=True)])
 
     out = source.mapInArrow(run, f"_key {kind}, n_tokens bigint, token_bytes binary, decoded string, round_trip boolean")
-    return out.select("_key.*", "n_tokens", "token_bytes", "decoded", "round_trip")
+    return out.select(carried(key, carry), "n_tokens", "token_bytes", "decoded", "round_trip")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:

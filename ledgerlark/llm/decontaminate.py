@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import column, keyed, make, pieces
+from .arrow import carried, column, keyed, make, pieces
+from .scratch import Scratch
 
 WINDOW = 10
 #: Benchmark text sent with the tasks at once; a larger benchmark is searched for in several rounds.
@@ -97,8 +98,11 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+SPANS = pa.list_(pa.list_(pa.int64()))
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", pattern_bytes: int = PATTERN_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """Each document's occurrences of benchmark windows: key (or the columns named by carry, untouched), n_words, n_hit, spans, items, contaminated.
+    """Each document's occurrences of benchmark windows: key (or the columns named by carry, untouched, as a struct `row`), n_words, n_hit, spans, items, contaminated.
 
     spans: array of [start, end) word intervals that are hit; items: ids found, as strings, sorted.
     Items with a null id are searched for like any other: their hits count in spans, n_hit and
@@ -107,8 +111,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     repeated documents each give a row; empty tables give no rows, or no hits.
 
     The benchmark is collected in rounds of at most `pattern_bytes` (a single longer item is a round
-    of its own). With one round the documents are not moved; with more, only the
-    hits of a document, never its text, are brought together.
+    of its own). With one round the documents are not moved. With more, each round is sent, searched
+    for, written and freed before the next; only texts that are hit hand on anything, by the digest of
+    the text, and what the rounds found of one text is brought together.
     """
     spark = docs.sparkSession
     bench = items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
@@ -116,34 +121,70 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     rounds = max(1, -(-2 * total // pattern_bytes)) if total > pattern_bytes else 1
     source, where = keyed(docs, key, text, carry)
     kind = source.schema["_key"].dataType.simpleString()
-    made = None
-    for k in range(rounds):
-        held = [(r["i"], r["t"]) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == k).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(held)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tables = build(sent.value)
+    def sent(k: int):
+        chosen = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == k) if rounds > 1 else bench
+        return spark.sparkContext.broadcast([(r["i"], r["t"]) for r in chosen.toLocalIterator()])
+
+    def found(texts: list, tables: list[Search]) -> tuple[list, list, list]:
+        n, spans, own = [], [], []
+        for t in texts:
+            a, b, c = search(t, tables)
+            n.append(a), spans.append([list(x) for x in b]), own.append(sorted(str(x) for x in c))
+        return n, spans, own
+
+    if rounds == 1:
+        patterns = sent(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = build(patterns.value)
             for batch in pieces(batches, where):
-                schema = pa.schema([batch.schema.field("_key"), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("h", pa.binary())])
-                n, spans, found, digest = [], [], [], []
-                for t in column(batch, where).to_pylist():
-                    a, b, c = search(t, tables)
-                    n.append(a), spans.append([list(x) for x in b]), found.append(sorted(str(x) for x in c))
-                    digest.append(hashlib.md5((t or "").encode()).digest() if rounds > 1 else b"")
-                yield make(schema, batch.column("_key"), n, spans, found, digest)
-
-        part = source.mapInArrow(run, f"_key {kind}, n_words bigint, spans array<array<bigint>>, items array<string>, h binary")
-        made = part if made is None else made.unionByName(part)
-    if rounds > 1:
-        # a document is known by key and text digest; a repeated row comes `rounds` times as often
-        merged = F.udf(_union, "array<array<bigint>>")
-        made = (
-            made.groupBy("_key", "h", "n_words")
-            .agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / rounds).cast("int").alias("_n"))
-            .select("_key", "n_words", merged("_s").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
-        )
+                schema = pa.schema([batch.schema.field("_key"), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+                yield make(schema, batch.column("_key"), *found(column(batch, where).to_pylist(), tables))
+
+        made = source.mapInArrow(run, f"_key {kind}, n_words bigint, spans array<array<bigint>>, items array<string>")
+    else:
+        scratch, hits = Scratch(spark, "benchmark"), None
+        for k in range(rounds):
+            patterns = sent(k)
+
+            def look(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+                tables = build(patterns.value)
+                schema = pa.schema([("h", pa.binary()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+                for batch in pieces(batches, "_text"):
+                    texts = batch.column("_text").to_pylist()
+                    rows = [(_digest(t), s, i) for t, _, s, i in zip(texts, *found(texts, tables), strict=True) if s]
+                    if rows:
+                        yield make(schema, *map(list, zip(*rows, strict=True)))
+
+            part = docs.select(F.col(text).alias("_text")).mapInArrow(look, "h binary, spans array<array<bigint>>, items array<string>")
+            part = scratch.write(part.dropDuplicates(["h"]))  # equal texts have equal hits
+            patterns.destroy()
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                schema = pa.schema([("h", pa.binary()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+                yield make(schema, batch.column("h"), [_union(s) for s in batch.column("s").to_pylist()], batch.column("items").to_pylist())
+
+        hits = scratch.write(hits.mapInArrow(joined, "h binary, spans array<array<bigint>>, items array<string>"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, where):
+                schema = pa.schema([batch.schema.field("_key"), ("n_words", pa.int64()), ("h", pa.binary())])
+                texts = column(batch, where).to_pylist()
+                yield make(schema, batch.column("_key"), [len(words(t)) for t in texts], [_digest(t) for t in texts])
+
+        made = source.mapInArrow(count, f"_key {kind}, n_words bigint, h binary").join(hits, "h", "left")
+        none = lambda c, of: F.coalesce(c, F.array().cast(of)).alias(c)
+        made = made.select("_key", "n_words", none("spans", "array<array<bigint>>"), none("items", "array<string>"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
-    return made.withColumn("n_hit", hit).select("_key.*", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return made.withColumn("n_hit", hit).select(carried(key, carry), "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _digest(text: str | None) -> bytes:
+    return hashlib.md5((text or "").encode()).digest()
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import column, keyed, make, pieces
+from .arrow import carried, column, keyed, make, pieces
 
 DIMENSIONS = 1024
 SEED = 20_240_601
@@ -118,7 +118,7 @@ def prototypes(docs: DataFrame, label: str = "lang", text: str = "text", dimensi
 
 
 def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: str = "lang", text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
-    """Each text's language and score: key (or the columns named by carry, untouched), lang_pred, score in 0..1 (the cosine, negative ones as 0).
+    """Each text's language and score: key (or the columns named by carry, untouched, as a struct `row`), lang_pred, score in 0..1 (the cosine, negative ones as 0).
 
     Null texts and texts without a letter get `und` with score 0, and so does everything if nothing
     could be learned. Ties go to the label that sorts first. Only `text` enters a prediction; very
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", label: s
             score = np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
             yield make(schema, batch.column("_key"), [names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], score)
 
-    return source.mapInArrow(run, f"_key {kind}, lang_pred string, score double").select("_key.*", "lang_pred", "score")
+    return source.mapInArrow(run, f"_key {kind}, lang_pred string, score double").select(carried(key, carry), "lang_pred", "score")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import make
+from .scratch import Scratch
 
 #: Queries sent with the tasks at once (64 dimensions: 4 MB); more are answered in further passes.
 QUERY_ROWS = 8192
@@ -139,7 +140,7 @@ def whole_vectors(ids: pa.Array, vectors: pa.Array, factor: float) -> dict[int,
     offsets = np.concatenate(([0], np.cumsum(np.diff(vectors.offsets.to_numpy()))))
     lengths, names = np.diff(offsets), ids.to_numpy(zero_copy_only=False)
     out = {}
-    for n in set(lengths[lengths > 0].tolist()):
+    for n in set(lengths.tolist()):
         at = np.flatnonzero(lengths == n)
         block = values[offsets[at][:, None] + np.arange(n)]
         good = np.isfinite(block).all(1)
@@ -149,6 +150,8 @@ def whole_vectors(ids: pa.Array, vectors: pa.Array, factor: float) -> dict[int,
 
 def distinct(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct vectors, each with its k+1 smallest ids: no more can reach a top k, so hot vectors cost no more than rare ones."""
+    if not points.shape[1]:  # vectors without components: all scores are 0
+        return points[:1], [np.unique(ids)[: k + 1]]
     view = np.ascontiguousarray(points).view([("", points.dtype)] * points.shape[1]).ravel()
     _, first, back = np.unique(view, return_index=True, return_inverse=True)
     order = np.lexsort((ids, back))
@@ -160,18 +163,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     """Each query's k highest inner products of floor(factor * x): query_id, rank, key, score.
 
     Ties go to the smaller id; a row is never its own neighbour; exact repeats of a row count once.
-    Rows with a null id, and vectors that are null, empty or hold a null or non-finite component,
-    take no part; vectors of different lengths have no score together. Fewer than k candidates give
+    Rows with a null id, and vectors that are null or hold a null or non-finite component, take no
+    part; vectors of different lengths have no score together, those without components score 0. Fewer than k candidates give
     fewer rows; an empty table gives none.
 
     At most about `query_rows` queries are collected at a time and sent along; every pass reads the
-    table once and hands on k rows per query and task.
+    table once and hands on k rows per query and task. With several passes each is written and its
+    queries are freed before the next.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
     asked = vectors.where(is_query).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
     passes = max(1, -(-asked.count() // query_rows))
-    part = None
+    part, scratch = None, Scratch(spark, "topk")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_id")))
+        return found.dropDuplicates(["query_id", "_id", "score"]).withColumn("rank", rank).where(F.col("rank") <= k)
+
     for p in range(passes):
         held = [(r["_id"], r["_v"]) for r in asked.where(F.pmod(F.xxhash64("_id"), F.lit(passes)) == p).toLocalIterator()]
         sent = spark.sparkContext.broadcast(whole_vectors(pa.array([i for i, _ in held], pa.int64()), pa.array([v for _, v in held], pa.list_(pa.float64())), factor))
@@ -192,10 +201,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
                     yield make(schema, *map(list, zip(*found, strict=True)))
 
         own = rows.mapInArrow(run, "query_id bigint, _id bigint, score bigint")
+        if passes > 1:  # answered, written and freed before the next queries are collected
+            own = scratch.write(ranked(own))
+            sent.destroy()
         part = own if part is None else part.unionByName(own)
-    merged = part.dropDuplicates(["query_id", "_id", "score"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_id")))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(key), "score")
+    out = part if passes > 1 else ranked(part)
+    return out.select("query_id", "rank", F.col("_id").alias(key), "score")
 
 
 def query(vectors: DataFrame) -> DataFrame:
