@@ -127,7 +127,7 @@ def _by_rounds(rows: DataFrame, threshold: float) -> DataFrame:
 
     def first_near(left: DataFrame, right: DataFrame) -> DataFrame:
         """(bid, k, p): the smallest row of the right, before the left one, that is near enough."""
-        deal = lambda df, own, other, side: df.select("bid", "k", "v", F.pmod(F.xxhash64("k"), F.col("parts")).alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias(other), F.lit(side).alias("side"))
+        deal = lambda df, own, other, side: df.select("bid", "k", "v", F.pmod(F.xxhash64("k"), F.col("parts")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias(other), F.lit(side).alias("side"))
         dealt = deal(left, "h", "g", 0).unionByName(deal(right, "g", "h", 1))
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quantities as Q
+from ..functions.text import normal
 from ..operators import contradictions as C
 from ..operators import extraction as X
 from ..operators import lexicon as L
@@ -135,7 +136,7 @@ def _relevance_sql() -> str:
     distinct = lambda terms: f"list_sort(list_distinct(regexp_extract_all(n, '\\b(?:{_alternatives(terms)})\\b')))"
     return f"""WITH d AS (SELECT doc_id, text, CASE doc_id % {len(_PHRASES)} {said} END AS said FROM documents), t AS (SELECT doc_id, {_NORM} AS n FROM d),
     r AS (SELECT doc_id, n, {distinct(names)} AS who, {distinct(parties)} AS which, string_split_regex(n, '\\b(?:{speaker})\\b') AS gaps, regexp_extract_all(n, '\\b(?:{speaker})\\b') AS found FROM t),
-    m AS (SELECT doc_id, n, length(m) AS size, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (SELECT doc_id, n, unnest(gaps[: len(found)]) AS gap, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM r)),
+    m AS (SELECT doc_id, n, length(m) AS size, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop FROM (SELECT doc_id, n, unnest(gaps[: len(found)]) AS gap, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM r)),
     near AS (SELECT doc_id, bool_or(regexp_matches(substr(n, greatest(stop - size - {L.NEAR}, 0) + 1, stop + {L.NEAR} - greatest(stop - size - {L.NEAR}, 0)), '\\b(?:{saying})\\b')) AS near FROM m GROUP BY doc_id),
     v AS (SELECT doc_id, who, which, len(who) + len(which) > 0 AS relevant, coalesce(near, false) OR regexp_matches(n, '\\b(?:selon|d apres)\\s+(?:[a-z''-]+\\s+){{0,2}}(?:{speaker})\\b')
       OR regexp_matches(n, '\\b(?:{speaker})\\b\\s+(?:(?:a|ont|se|s|y|ne|n|qui)\\s+)?(?:[a-z]+ement\\s+)?(?:{_alternatives(L.SUBJECT_VERBS)})\\b') AS said FROM r LEFT JOIN near USING (doc_id))
@@ -341,7 +342,7 @@ def _(t: Tables) -> DataFrame:
 
     path = f"{shared_dir(t.spark)}/dedup-{uuid.uuid4().hex}"
     keyed = lambda s: s.select("user_id", "event_type", F.concat_ws(":", "user_id", "event_type").alias("k"))
-    source = landed_stream(t.spark, t.path("events"), t.events.schema)
+    source = landed_stream(t.spark, t.path("events*"), t.events.schema)
     # two runs with checkpoints of their own: the second reads everything again and adds nothing
     for run in ("first", "again"):
         ingest(source, keyed, f"{path}/table", "k", f"{path}/{run}").awaitTermination()

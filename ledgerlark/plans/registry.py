@@ -23,6 +23,7 @@ class Tables:
         return table(self._spark, self._dir, name)
 
     def path(self, name: str) -> str:
+        """Where a table is, for streams; with a pattern a table may be a file or a folder."""
         return f"{self._dir}/{name}.parquet"
 
     @property

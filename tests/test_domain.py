@@ -43,14 +43,14 @@ CASES = [
     ("Le martin-pêcheur niche au bord", False, None),
     ("Selon Marine Le Pen, l'immigration coûte trop cher", True, "prise_de_parole"),
     ("Le RN dénonce la politique migratoire", True, "prise_de_parole"),
-    ("Le RN ne vraiment dénonce rien", True, "prise_de_parole"),
+    ("Le RN ne finalement dénonce rien", True, "prise_de_parole"),
     ("Le RN est dénoncé par la majorité", True, "mention"),
     ("Bardella propose une loi", True, "prise_de_parole"),
     ("Marine Le Pen, dans un entretien, détaille sa position", True, "prise_de_parole"),
     ("Le RN progresse dans les sondages selon une étude récente", True, "mention"),
     ("Le RN " + "x" * 30 + " affirme", True, "mention"),
     ("Le RN " + "x" * 21 + " affirme", True, "prise_de_parole"),  # the verb ends with the thirtieth character
-    ("Le RN " + "x" * 19 + " affirmerait", True, "prise_de_parole"),  # what lies beyond is cut off, so a word may begin like a verb
+    ("Le RN " + "x" * 21 + " affirmerait", True, "prise_de_parole"),  # what lies beyond is cut off, so a word may begin like a verb
     ("", False, None),
     (None, False, None),
 ]
