@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op7_line_dedup": lines.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op4_license_scan": licenses.oracle(), "op7_line_dedup": lines.ORACLE, "op9_topk": topk.ORACLE, "op10_sharding": sharding.oracle()}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 HASH_BITS = 60
+LIMIT_BYTES = 16 << 20
 
 
 def row_hash(*cols: Column) -> Column:
@@ -31,7 +32,7 @@ def _prefix(h: Column, depth: Column | int) -> Column:
 
 
 def extendible_shards(
-    rows: DataFrame, key: str = "doc_id", text: str = "text", limit_bytes: int = 16 << 20, first_bits: int = 16, step_bits: int = 16
+    rows: DataFrame, key: str = "doc_id", text: str = "text", limit_bytes: int = LIMIT_BYTES, first_bits: int = 16, step_bits: int = 16
 ) -> DataFrame:
     """Rows' key with the shard that holds each: key, n_bytes, shard, depth, shard_bytes.
 
@@ -113,3 +114,20 @@ def extendible_shards(
         )
     )
     return out.unionByName(packs)
+
+
+def oracle(limit_bytes: int = LIMIT_BYTES) -> str:
+    """The same result in DuckDB's SQL: each row's shard is its shortest hash prefix whose rows fit."""
+    part = lambda c: f"coalesce('v' || {c}::VARCHAR, 'n')"
+    nibbles = ", ".join(f"'{k:04b}'" for k in range(16))
+    return f"""
+WITH base AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS b, left(md5({part('doc_id')} || chr(31) || {part('text')}), 15) AS hex FROM documents),
+bits AS (SELECT doc_id, b, array_to_string(list_transform(string_split(hex, ''), lambda c: [{nibbles}][strpos('0123456789abcdef', c)]), '') AS h FROM base),
+same AS (SELECT h, count(*) AS n, sum(b) AS bytes, max(b) AS each FROM bits GROUP BY h),
+total AS (SELECT left(h, k) AS q, sum(bytes)::BIGINT AS bytes FROM same, range(0, {HASH_BITS + 1}) AS r(k) GROUP BY 1),
+leaf AS (SELECT h, min(length(q)) AS depth FROM same, range(0, {HASH_BITS + 1}) AS r(k) JOIN total ON q = left(h, k) WHERE total.bytes <= {limit_bytes} GROUP BY h),
+rows_ AS (SELECT doc_id, b, bits.h, n, each, coalesce(depth, {HASH_BITS})::INTEGER AS depth, depth IS NULL AND n > 1 AS cut, (row_number() OVER (PARTITION BY bits.h) - 1) // greatest(1, {limit_bytes} // greatest(each, 1)) AS pack
+          FROM bits JOIN same ON same.h = bits.h LEFT JOIN leaf ON leaf.h = bits.h)
+SELECT doc_id, b AS n_bytes, left(h, depth) || CASE WHEN cut THEN '#' || pack ELSE '' END AS shard, depth,
+       (CASE WHEN cut THEN count(*) OVER (PARTITION BY h, pack) * each ELSE total.bytes END)::BIGINT AS shard_bytes
+FROM rows_ JOIN total ON q = left(h, depth)"""
