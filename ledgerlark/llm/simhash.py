@@ -18,7 +18,7 @@ component, shingle set against shingle set, and only pairs that are similar enou
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ from .scratch import Scratch
 SEEDS = (42, 0x9E3779B97F4A7C15)
 TILE_ROWS = 32768
 SEGMENTS = 4
-#: Up to this radius a fingerprint's first word is compared before the others.
-NARROW = 24
+#: Pairs whose first words differ in more than this share of the radius are not compared further. A word has half of a fingerprint's
+#: bits, so of pairs at the radius itself nearly all are kept, and of unrelated ones few.
+FIRST_SHARE = 0.67
+#: Pairs of fingerprints that are compared in one step: their difference stays in the processor's cache.
+COMPARED_AT_ONCE = 1 << 16
 #: Texts of fewer distinct shingles than SHORT differ in more bits at one similarity (ties of votes); where
 #: the similarity is checked, WIDER bits are added to their radius.
 SHORT, WIDER = 32, 8
@@ -106,33 +109,30 @@ def segment_steps(radius: int, segments: int = SEGMENTS) -> np.ndarray:
     return np.array(sorted(v for s in steps if s >= (0,) * segments for v in [sum(a * b for a, b in zip(s, weights, strict=True))]), np.int64)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, counts_a: np.ndarray, counts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near(a: np.ndarray, b: np.ndarray, radius: int, order_a: np.ndarray, order_b: np.ndarray, reach: Callable[[int, int], tuple[float, float]], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b (words x fingerprints) that differ in `radius` bits at most.
 
-    b is sorted by population count (counts_b): each stretch of a meets only that part of b whose
-    counts are within the radius.
+    Both are sorted, by order_a and order_b (population counts, or shingle counts): each stretch of a
+    meets only the rows of b between the bounds that `reach` gives for the stretch's least and greatest.
+    first: most bits that the first word may differ in; the others are compared only for pairs within it.
     """
     found_a, found_b = [], []
-    step = max(1, (1 << 20) // max(1, b.shape[1]))
+    step = max(1, COMPARED_AT_ONCE // max(1, b.shape[1]))
     for lo in range(0, a.shape[1], step):
         hi = min(lo + step, a.shape[1])
-        first = np.searchsorted(counts_b, counts_a[lo:hi].min() - radius, "left")
-        last = np.searchsorted(counts_b, counts_a[lo:hi].max() + radius, "right")
-        if first >= last:
+        least, most = reach(order_a[lo], order_a[hi - 1])
+        start, stop = np.searchsorted(order_b, least, "left"), np.searchsorted(order_b, most, "right")
+        if start >= stop:
             continue
-        apart = np.bitwise_count(a[0, lo:hi, None] ^ b[0, None, first:last])
-        # half of all pairs differ in 32 bits of a word: where the radius reaches that, one word alone rules out nothing
-        whole = len(a) if radius > NARROW and len(a) <= 3 else 1
-        for k in range(1, whole):
-            apart += np.bitwise_count(a[k, lo:hi, None] ^ b[k, None, first:last])
-        x, y = np.nonzero(apart <= radius)
-        if len(a) > whole and len(x):
+        apart = np.bitwise_count(a[0, lo:hi, None] ^ b[0, None, start:stop])
+        x, y = np.divmod(np.flatnonzero(apart <= min(radius, first or radius)), stop - start)
+        if len(a) > 1 and len(x):
             total = apart[x, y].astype(np.int64)
-            for k in range(whole, len(a)):
-                total += np.bitwise_count(a[k, lo + x] ^ b[k, first + y])
+            for k in range(1, len(a)):
+                total += np.bitwise_count(a[k, lo + x] ^ b[k, start + y])
             x, y = x[total <= radius], y[total <= radius]
         found_a.append(x + lo)
-        found_b.append(y + first)
+        found_b.append(y + start)
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, int), np.empty(0, int))
 
 
@@ -240,11 +240,14 @@ def links(prints: DataFrame, radius: int, scratch: Scratch, words: int = 1, by_l
             if not cut or cut == rows.shape[1]:
                 return None
             ids, f = rows[4], rows[5 : 5 + words].view(np.uint64)
-            total = np.bitwise_count(f).sum(0, dtype=np.int64)
-            order = cut + np.argsort(total[cut:], kind="stable")
-            reach = radius + WIDER if checked and rows[-1].min() < SHORT else radius
-            x, y = near(f[:, :cut], f[:, order], reach, total[:cut], total[order])
-            y = order[y]
+            wide = radius + WIDER if checked and rows[-1].min() < SHORT else radius
+            if by_length is None:
+                by, reach, first = np.bitwise_count(f).sum(0, dtype=np.int64), lambda least, most: (least - wide, most + wide), None
+            else:  # each pair once: with the row that has more shingles, or as many, as the first
+                by, reach, first = rows[-1], lambda least, most: (by_length * least, most), round(FIRST_SHARE * wide) if words > 1 else None
+            low, high = np.argsort(by[:cut], kind="stable"), cut + np.argsort(by[cut:], kind="stable")
+            x, y = near(f[:, low], f[:, high], wide, by[low], by[high], reach, first)
+            x, y = low[x], high[y]
             keep = ids[x] != ids[y]
             if by_length is not None:
                 n = rows[-1]
