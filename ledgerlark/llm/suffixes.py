@@ -17,6 +17,11 @@ in, and adjacent suffixes are compared over `length` bytes.
 An anchor with more different contexts than a task should sort is settled by counting 128-bit hashes
 of blocks of its windows, halved where they differ: aggregations that combine map-side and have no hot
 task.
+
+Passages. Beside the bytes, words that lie in a run of more than fifty words which another document has
+as well are counted: such a passage may be shorter than `length` bytes. Runs of words are routed in the
+same way, by anchors of eight words; the windows of contexts that are not equal as a whole are told
+apart by 128-bit hashes. This removes nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ SORT_BYTES = 1 << 20
 #: Different contexts of one anchor beyond which blocks of windows are counted by hash.
 HOT_CONTEXTS = 256
 FIRST_BLOCK = 64
+#: A passage is a run of so many words or more that another document has too; its anchors are so many words long.
+PASSAGE_WORDS, ANCHOR_WORDS = 51, 8
 _MIN = -(1 << 63)
 
 _rng = np.random.default_rng(7)
@@ -48,25 +55,25 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uin
 _MULTIPLY = _rng.integers(1, 1 << 63, 32, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of every `length` bytes of uint8 data, by doubling."""
-    if len(data) < length:
+def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every `length` symbols (each a random number), by doubling."""
+    if len(symbols) < length:
         return np.empty(0, np.uint64)
-    now, size, out, done, k = _BYTE[data], 1, None, 0, 0
+    now, size, out, done, k = symbols, 1, None, 0, 0
     rest = length
     while True:
         if rest & 1:
             if out is None:
                 out, done = now, size
             else:
-                m = len(data) - done - size + 1
+                m = len(symbols) - done - size + 1
                 out = out[:m] * _MULTIPLY[k] ^ now[done : done + m]
                 out ^= out >> np.uint64(29)
                 out *= _MULTIPLY[31 - k]
                 done += size
         rest >>= 1
         if not rest:
-            return out[: len(data) - length + 1]
+            return out[: len(symbols) - length + 1]
         m = len(now) - size
         now = now[:m] * _MULTIPLY[k] + now[size : size + m]
         now ^= now >> np.uint64(32)
@@ -82,9 +89,40 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[: len(now) - extra], now[extra:]) if extra else now
 
 
-def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
+def byte_symbols(data: bytes) -> np.ndarray:
+    return _BYTE[np.frombuffer(data, np.uint8)]
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        base = int(_MULTIPLY[3])
+        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
+            steps = np.full(2 * n, b, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def word_symbols(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word ([^\\x20\\x09-\\x0D]+), and where words start and end."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.concatenate(([False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _powers(len(codes) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[codes] * power[: len(codes)], dtype=np.uint64)))
+    h = (total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= _MULTIPLY[5]
+    return h ^ h >> np.uint64(29), start, end
+
+
+def contexts(whole: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
     """(anchor hash, first window, number of windows, first window less anchor) of each context; together they own every window once."""
-    whole = np.frombuffer(data, np.uint8)
     windows, width = len(whole) - length + 1, length - anchor + 1
     for lo in range(0, max(windows, 0), STRETCH):
         hi = min(lo + STRETCH, windows)
@@ -189,7 +227,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
             d, t, rows, digests = [], [], [], []
             for dd, tt, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 data = x.encode()
-                own = list(contexts(data, length))
+                own = list(contexts(byte_symbols(data), length))
                 rows += own
                 digests += [hashlib.md5(data[s : s + w + length - 1]).digest() for _, s, w, _ in own]
                 d += [dd] * len(own)
@@ -290,45 +328,110 @@ def _halved(cut: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     return out
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Each document without its repeated bytes: key, n_bytes, n_removed, spans, kept (binary).
+def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """(d, t, s, w): w windows of `words` words, from the s-th word on, that another document has too."""
+    texts = docs.select(*_document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+        for batch in pieces(batches, "text", 2 << 20):
+            d, t, rows, digests = [], [], [], []
+            for dd, tt, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                symbols, start, end = word_symbols(x.encode())
+                own = list(contexts(symbols, words, ANCHOR_WORDS))
+                if not own:
+                    continue
+                raw = symbols.tobytes()
+                digests += [hashlib.md5(raw[8 * i : 8 * (i + n + words - 1)]).digest() for _, i, n, _ in own]
+                first = np.array([c[1] for c in own])
+                last = first + np.array([c[2] for c in own]) + words - 2
+                rows += [(*c[:3], int(a), int(b)) for c, a, b in zip(own, start[first], end[last], strict=True)]
+                d += [dd] * len(own)
+                t += [tt] * len(own)
+            if rows:
+                c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                name, s, w, a, b = map(list, zip(*rows, strict=True))
+                yield make(schema, d, t, name, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), s, w, a, b)
+
+    found = scratch.write(texts.mapInArrow(anchors, "d bigint, t bigint, name bigint, c1 bigint, c2 bigint, s int, w int, a int, b int"))
+    who = F.xxhash64("d", "t")
+    # a context is in the documents lo to hi; z is one of its places
+    groups = scratch.write(found.groupBy("name", "c1", "c2").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("d", "t", "s", "w", "a", "b")).alias("z")))
+    mixed = scratch.write(groups.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("k > 1 and lo <> hi").select("name"))
+    wholly = groups.where("lo <> hi").select("c1", "c2", F.array(F.struct(F.lit(0).alias("i"), F.col("z.w").alias("n"))).alias("runs"))
+    open_ = groups.join(mixed, "name").where("lo = hi").select("c1", "c2", "lo", "hi", "z.*")
+    known = groups.join(mixed, "name").where("lo <> hi").select("c1", "c2", "lo", "hi", "z.*")
+    cut = open_.unionByName(known).join(texts, ["d", "t"]).select("c1", "c2", "lo", "hi", F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a")).alias("x"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+        for batch in pieces(batches, "x", 1 << 20):
+            own, each = [batch.column(k).to_numpy() for k in range(4)], []
+            for x in batch.column("x").to_pylist():
+                symbols = word_symbols(x)[0]
+                each.append((window_hashes(symbols, words), window_hashes(symbols[::-1], words)[::-1]))
+            n = [len(h) for h, _ in each]
+            yield make(schema, *(np.repeat(c, n) for c in own), np.concatenate([np.arange(k, dtype=np.int32) for k in n]), *(np.concatenate([e[k] for e in each]).view(np.int64) for k in (0, 1)))
+
+    each = scratch.write(cut.mapInArrow(windows, "c1 bigint, c2 bigint, lo bigint, hi bigint, i int, h1 bigint, h2 bigint"))
+    again = scratch.write(each.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2"))
+    partly = each.where("lo = hi").join(again, ["h1", "h2"]).groupBy("c1", "c2").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("i"), F.lit(1).alias("n"))).alias("runs"))
+    shared = scratch.write(wholly.unionByName(partly))
+    out = scratch.write(found.join(shared, ["c1", "c2"]).select("d", "t", F.explode(F.transform("runs", lambda r: F.struct((F.col("s") + r["i"]).alias("s"), r["n"].alias("w")))).alias("r")).select("d", "t", "r.*"))
+    scratch.drop(found, groups, mixed, each, again)
+    return out
+
+
+def _merged(runs: list | None, length: int) -> list[list[int]]:
+    """The intervals that windows of `length`, w from s on, cover; joined where they touch."""
+    out: list[list[int]] = []
+    for a, b in sorted((r["s"], r["s"] + r["w"] - 1 + length) for r in runs or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Each document without its repeated bytes: key, n_bytes, n_removed, spans, kept (binary), passages.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same
     document too (overlaps count); strings are judged on the input. spans: [start, end) of the maximal
-    removed runs. Null texts are empty; texts shorter than `length` stay whole; repeated rows are
-    repeats of one another; every row gives one row.
+    removed runs. passages: [start, end) of the words, counted from 0, that lie in a run of `words`
+    words which another document has too, whatever is between the words; nothing is removed for them.
+    Null texts are empty; texts shorter than `length` stay whole; repeated rows are repeats of one
+    another, but no other document; every row gives one row; other columns are left out.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    runs = repeated_windows(docs, scratch, key, text, length)
-    runs = scratch.write(runs.groupBy("d", "t").agg(F.collect_list(F.struct("s", "w")).alias("runs")).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "runs"))
+    listed = lambda df, name: df.groupBy("d", "t").agg(F.collect_list(F.struct("s", "w")).alias(name))
+    runs = scratch.write(listed(repeated_windows(docs, scratch, key, text, length), "runs"))
+    passages = listed(shared_passages(docs, scratch, key, text, words), "passages")
+    runs = scratch.write(runs.join(passages, ["d", "t"], "full"))
     d, t = _document(F.col(key), F.col(text))
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), d.alias("_kd"), t.alias("_kt"))
-    joined = rows.join(runs, (F.col("_kd") == F.col("_d")) & (F.col("_kt") == F.col("_t")), "left").select("_key", "_text", "runs")
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), d.alias("d"), t.alias("t"))
+    joined = rows.join(runs, ["d", "t"], "left").select("_key", "_text", "runs", "passages")
     kind = joined.schema["_key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_of = pa.list_(pa.list_(pa.int64()))
         for batch in pieces(batches, "_text"):
-            schema = pa.schema([batch.schema.field("_key"), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+            schema = pa.schema([batch.schema.field("_key"), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", spans_of), ("kept", pa.binary()), ("passages", spans_of)])
             n, removed, spans, kept = [], [], [], []
             for x, own in zip(batch.column("_text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                data = x.encode()
-                merged: list[list[int]] = []
-                for a, b in sorted((r["s"], r["s"] + r["w"] - 1 + length) for r in own or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                data, merged = x.encode(), _merged(own, length)
                 at = [0, *(e for s in merged for e in s), len(data)]
                 n.append(len(data))
                 removed.append(sum(b - a for a, b in merged))
                 spans.append(merged)
                 kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
-            yield make(schema, batch.column("_key"), n, removed, spans, kept)
+            yield make(schema, batch.column("_key"), n, removed, spans, kept, [_merged(r, words) for r in batch.column("passages").to_pylist()])
 
-    out = joined.mapInArrow(cut, f"_key {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary")
+    out = joined.mapInArrow(cut, f"_key {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, passages array<array<bigint>>")
     return out.withColumnRenamed("_key", key)
 
 
 def query(docs: DataFrame) -> DataFrame:
     out = drop_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    in_passages = F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, p: n + p[1] - p[0])
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), in_passages.alias("n_passage_words"))
