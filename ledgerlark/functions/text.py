@@ -305,11 +305,50 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
 
 
+# --- Fixed values: French month names, long and short ---
+MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+SHORT_MONTHS = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
+# ---
+
+
+def _day(at: Column, months: tuple[str, ...]) -> Column:
+    return F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.get(F.array(*map(F.lit, months)), F.month(at) - 1), F.year(at).cast("string"))
+
+
 def relative_time(at: Column | str, now: Column) -> Column:
-    """Age in words for lists."""
-    s = F.unix_timestamp(now) - F.unix_timestamp(col(at))
-    part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
-    return F.when(s < 60, "à l'instant").when(s < 3600, part(60, " min")).when(s < 86400, part(3600, " h")).otherwise(part(86400, " j"))
+    """Age in words for lists, from a week on the day; '' for null."""
+    t = col(at)
+    s = F.unix_timestamp(now) - F.unix_timestamp(t)
+    ago = lambda n, unit: F.concat(F.lit("il y a "), F.floor(s / n).cast("string"), F.lit(unit))
+    words = F.when(s < 60, "à l'instant").when(s < 3600, ago(60, " min")).when(s < 86400, ago(3600, " h")).when(s < 604800, ago(86400, " j"))
+    return F.when(t.isNull(), "").otherwise(F.coalesce(words, _day(t, SHORT_MONTHS)))
+
+
+def exact_date(at: Column | str) -> Column:
+    """Day and minute in French; '' for null."""
+    t = col(at)
+    return F.when(t.isNull(), "").otherwise(F.concat(_day(t, MONTHS), F.lit(" à "), F.date_format(t, "HH:mm")))
+
+
+def french_number(n: Column | str) -> Column:
+    """A number with groups of three digits apart (narrow no-break space), decimal comma, at most three decimals; null is 0."""
+    x = F.round(F.coalesce(col(n).cast("double"), F.lit(0.0)), 3)
+    text = F.regexp_replace(F.regexp_replace(F.format_number(x, 3), "0+$", ""), r"\.$", "")
+    return F.translate(text, ",.", "\u202f,")
+
+
+def escape_html(c: Column | str) -> Column:
+    out = F.coalesce(col(c), F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
+def linkify(c: Column | str, link: str = '<a href="$1">$1</a>', handle: str = "<b>@$2</b>", tag: str = "<i>#$2</i>") -> Column:
+    """Text as HTML: escaped, with addresses, handles (of up to 15 letters) and tags marked up."""
+    out = F.regexp_replace(escape_html(c), r"(?U)(https?://[^\s]+)", link)
+    out = F.regexp_replace(out, r"(^|(?U:\s))@(\w{1,15})", "$1" + handle)
+    return F.regexp_replace(out, r"(^|(?U:\s))#(\w+)", "$1" + tag)
 
 
 def link_image(summary: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,3 +125,24 @@ def dossiers(claims: DataFrame, edges: DataFrame, by: str = "personality_id", le
     linked = ends.groupBy(by).agg(F.count_distinct("claim_a_id", "claim_b_id").alias("contradictions"))
     out = base.join(tally("theme"), by).join(tally("claim_type"), by).join(facts(claims, by), by).join(linked, by, "left")
     return out.fillna(0, ["contradictions"])
+
+
+def refresh_dossiers(claims: DataFrame, edges: DataFrame, kept: DataFrame, summarise: Callable[[list[str]], list[str | None]], by: str = "personality_id", least: int = LEAST_CLAIMS, force: bool = False) -> DataFrame:
+    """(person, n_claims, summary, state) for everyone with claims or a dossier.
+
+    kept: (person, n_claims, summary), dossiers made before. They stay as they are (`cached`) unless
+    `force`; people with fewer claims than `least` are `skipped`; for the others an injected function
+    sums up the facts, batch by batch (`generated`; `failed` where it gives null).
+    """
+    cached = kept.select(by, "n_claims", "summary", F.lit("cached").alias("state"))
+    todo = claims if force else claims.join(kept.select(by).distinct(), by, "left_anti")
+
+    @F.pandas_udf("string")
+    def summed_up(facts: pd.Series) -> pd.Series:
+        return pd.Series(summarise(facts.tolist()), dtype=object)
+
+    made = dossiers(todo, edges, by, least).select(by, "n_claims", summed_up("facts").alias("summary"))
+    made = made.withColumn("state", F.when(F.col("summary").isNull(), "failed").otherwise("generated"))
+    few = todo.groupBy(by).agg(F.count(F.lit(1)).alias("n_claims")).where(F.col("n_claims") < least).select(by, "n_claims", F.lit(None).cast("string").alias("summary"), F.lit("skipped").alias("state"))
+    new = made.unionByName(few)
+    return new.unionByName(cached.join(new.select(by), by, "left_anti") if force else cached)

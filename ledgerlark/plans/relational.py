@@ -558,3 +558,24 @@ def _(t: Tables) -> DataFrame:
 @query("n8_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def _(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("k")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"))).distinct()
+
+
+@query(
+    "d16_refresh_dossiers",
+    """WITH n AS (SELECT user_id, count(*) AS k FROM events GROUP BY 1)
+       SELECT user_id AS personality_id, CASE WHEN user_id % 3 = 0 THEN 7 ELSE k END::BIGINT AS n_claims, CASE WHEN user_id % 3 = 0 THEN 'old' WHEN k < 20 THEN NULL WHEN least(k, 50) % 4 = 0 THEN NULL ELSE least(k, 50) || ' facts' END AS summary,
+         CASE WHEN user_id % 3 = 0 THEN 'cached' WHEN k < 20 THEN 'skipped' WHEN least(k, 50) % 4 = 0 THEN 'failed' ELSE 'generated' END AS state FROM n""",
+)
+def _(t: Tables) -> DataFrame:
+    claims = t.events.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("personality_id"), F.col("event_type").alias("theme"), F.lit("normatif").alias("claim_type"),
+        F.col("ts").alias("published_at"), F.lit(None).cast("string").alias("canonical"), F.col("props").alias("verbatim"),
+    )
+    edges = t.events.where("event_id % 10 = 0").select(F.col("event_id").alias("claim_a_id"), (F.col("event_id") + 1).alias("claim_b_id"))
+    kept = claims.where("personality_id % 3 = 0").select("personality_id").distinct().select("personality_id", F.lit(7).cast("bigint").alias("n_claims"), F.lit("old").alias("summary"))
+
+    def summarise(facts):
+        sizes = [len(f.split("\n")) for f in facts]
+        return [None if n % 4 == 0 else f"{n} facts" for n in sizes]
+
+    return reports.refresh_dossiers(claims, edges, kept, summarise, least=20)

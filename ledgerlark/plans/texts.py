@@ -329,3 +329,33 @@ def _(t: Tables) -> DataFrame:
     feeds = t.documents.groupBy(F.floor(F.col("doc_id") / 3).alias("media_source_id")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x"))))["x"], ""), F.lit("</channel></rss>")).alias("xml"))
     out = landed.press_entries(feeds)
     return out.select(F.regexp_extract("link", "([0-9]+)$", 1).cast("bigint").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), (F.col("title") != "").alias("titled"))
+
+
+_MONTHS = ", ".join(f"'{m}'" for m in T.MONTHS)
+_SHORT = ", ".join(f"'{m}'" for m in T.SHORT_MONTHS)
+_AGE = "(epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000000 - epoch_us(ts) // 1000000)"
+
+
+@query(
+    "f38_presentation",
+    f"""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' WHEN {_AGE} < 60 THEN 'à l''instant' WHEN {_AGE} < 3600 THEN 'il y a ' || {_AGE} // 60 || ' min' WHEN {_AGE} < 86400 THEN 'il y a ' || {_AGE} // 3600 || ' h'
+      WHEN {_AGE} < 604800 THEN 'il y a ' || {_AGE} // 86400 || ' j' ELSE day(ts) || ' ' || [{_SHORT}][month(ts)] || ' ' || year(ts) END AS age,
+      day(ts) || ' ' || [{_MONTHS}][month(ts)] || ' ' || year(ts) || ' à ' || strftime(ts, '%H:%M') AS day, replace(format('{{:,}}', event_id * 1237), ',', chr(8239)) AS number,
+      'a &amp; &lt;b&gt; <a href="https://x.y/' || event_id || '">https://x.y/' || event_id || '</a> <b>@' || event_type || '</b> <i>#t' || event_id || '</i> c@d' AS html FROM events""",
+)
+def _(t: Tables) -> DataFrame:
+    i = F.col("event_id").cast("string")
+    text = F.concat(F.lit("a & <b> https://x.y/"), i, F.lit(" @"), F.col("event_type"), F.lit(" #t"), i, F.lit(" c@d"))
+    at = F.when(F.col("event_id") % 9 != 0, F.col("ts").cast("timestamp"))
+    return t.events.select("event_id", T.relative_time(at, F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("age"), T.exact_date(F.col("ts").cast("timestamp")).alias("day"), T.french_number(F.col("event_id") * 1237).alias("number"), T.linkify(text).alias("html"))
+
+
+@query(
+    "f35_sniffers",
+    """SELECT page_id, nullif(regexp_extract(html, '(?i)<img[^>]+src=["'']([^"'']+)', 1), '') AS image, page_id % 3 = 0 AS rss, contains(html, 'timeline-item') AND length(html) > 2000 OR page_id % 5 = 0 AND length(html) > 2000 - 13 AS timeline FROM pages""",
+)
+def _(t: Tables) -> DataFrame:
+    i = F.col("page_id")
+    feed = F.concat(F.when(i % 3 == 0, "  <?xml version='1.0'?>\n<RSS>").otherwise("<?xml version='1.0'?>"), F.regexp_replace("html", "(?i)<rss", ""))
+    page = F.concat(F.when(i % 5 == 0, "timeline-item").otherwise(""), "html")
+    return t.pages.select("page_id", T.link_image("html").alias("image"), T.looks_like_rss(feed).alias("rss"), T.looks_like_timeline(page).alias("timeline"))
