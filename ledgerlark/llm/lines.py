@@ -45,14 +45,17 @@ def _is_line(unit: Column) -> Column:
 
 
 def _is_long(line: Column) -> Column:
-    """Whether a line has MIN_WORDS words; shorter ones than any such line are not split."""
-    words = F.filter(F.split(F.translate(line, "\t\r", "  "), " "), lambda w: w != "")
-    return F.when(F.octet_length(line) < 2 * MIN_WORDS - 1, False).otherwise(F.size(words) >= MIN_WORDS)
+    """Whether a line has MIN_WORDS words. Blanks are counted first; only lines with two blanks together are split."""
+    t = F.trim(F.translate(line, "\t\r", "  "))
+    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    words = F.filter(F.split(t, " "), lambda w: w != "")
+    return F.when(blanks < MIN_WORDS - 1, False).when(~F.contains(t, F.lit("  ")), True).otherwise(F.size(words) >= MIN_WORDS)
 
 
 def line_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, j, x, y, w): the line of the j-th unit, as 128 bits of hash, and whether it is a run by itself."""
-    units = docs.select(*_document(key, text), F.posexplode(_units(F.col(text))).alias("j", "u")).where(_is_line(F.col("u")))
+    units = docs.select(*_document(key, text), F.posexplode(_units(F.col(text))).alias("j", "u"))
+    units = units.where((F.col("j") > 0) | _is_line(F.col("u")))  # all but the first begin with a line
     line = F.substring_index("u", "\n", 1)
     return units.select("d", "t", "j", F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"), _is_long(line).alias("w"))
 
