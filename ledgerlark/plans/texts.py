@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import text as T
 from ..operators import extraction as X
+from ..operators.lexicon import escape
 from ..sources import landed
 from .registry import Tables, query
 
@@ -90,9 +91,16 @@ def _(t: Tables) -> DataFrame:
     return df.select("event_id", T.iso_date("at").alias("day"), T.truncate("event_type", 3).alias("cut"), T.representative("canonical", "props").alias("shown"))
 
 
-@query("f21_plain_text", "SELECT doc_id, regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', '', 'g'), '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '', 'g') AS body FROM documents WHERE NOT regexp_matches(text, '[<\\[]')")
+#: text.plain_text: tags, link targets, addresses and e-mail addresses.
+_PLAIN = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), "
+    "'\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '', 'g')"
+)
+
+
+@query("f21_plain_text", f"SELECT doc_id, {_PLAIN} AS body FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.where(~F.col("text").rlike(r"[<\[]")).select("doc_id", T.plain_text("text").alias("body"))
+    return t.documents.select("doc_id", T.plain_text("text").alias("body"))
 
 
 def _boilerplate_sql() -> str:
@@ -274,22 +282,28 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(X.sentences("text")).cast("bigint").alias("n"))
 
 
-@query(
-    "d17_clean_article",
-    """WITH l AS (SELECT doc_id, u.i, trim(regexp_replace(s, '[ \\t]+', ' ', 'g')) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE NOT regexp_matches(text, '[<\\[@]|https?:|www\\.')), unnest(range(1, len(a) + 1)) AS u(i), unnest([a[u.i]]) AS v(s)),
-       k AS (SELECT * FROM l WHERE NOT (starts_with(lower(s), 'the ') OR starts_with(lower(s), 'de '))),
-       p AS (SELECT *, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
-       SELECT doc_id, trim(regexp_replace(coalesce(string_agg(s, chr(10) ORDER BY i), ''), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS cleaned FROM p WHERE s = '' OR before IS NULL OR s <> before GROUP BY doc_id""",
-)
+def _clean_sql(boilerplate: str) -> str:
+    """Articles without the lines (s, normalised n) that meet a condition, and without repeats of the line before."""
+    return f"""WITH l AS (SELECT doc_id, u.i, trim(regexp_replace(s, '[ \\t]+', ' ', 'g')) AS s FROM (SELECT doc_id, string_split({_PLAIN}, chr(10)) AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i), unnest([a[u.i]]) AS v(s)),
+       k AS (SELECT * FROM (SELECT *, trim({plain_sql('s')}) AS n FROM l) WHERE NOT ({boilerplate})),
+       p AS (SELECT *, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+       c AS (SELECT doc_id, trim(regexp_replace(coalesce(string_agg(s, chr(10) ORDER BY i), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS cleaned FROM p WHERE s = '' OR before IS NULL OR s <> before GROUP BY doc_id)
+       SELECT doc_id, coalesce(cleaned, '') AS cleaned FROM documents LEFT JOIN c USING (doc_id)"""
+
+
+_any_of = lambda terms: "|".join(map(escape, terms)).replace("'", "''")
+_DEFAULT = f"n <> '' AND (regexp_matches(n, '^(?:{_any_of(X.LINE_PREFIXES)})') OR regexp_matches(n, '^\\d+\\s*min(utes?)?\\b') AND {words_sql('n')} <= {X.READING_WORDS} OR {words_sql('n')} <= {X.SHORT_WORDS} AND regexp_matches(n, '{_any_of(X.SHORT_MARKERS)}'))"
+
+
+@query("d17_clean_article", _clean_sql("starts_with(n, 'the ') OR starts_with(n, 'de ')"))
 def _(t: Tables) -> DataFrame:
-    df = t.documents.where(~F.col("text").rlike(r"[<\[@]|https?:|www\."))
-    out = df.select("doc_id", X.clean_article("text", prefixes=("the ", "de "), markers=("\u0001",)).alias("cleaned"))
-    return out.where("cleaned <> ''").unionByName(out.where("cleaned = ''").where("false"))
+    return t.documents.select("doc_id", X.clean_article("text", prefixes=("the ", "de "), markers=("\u0001",)).alias("cleaned"))
 
 
-@query("d17_clean_article_default")
+@query("d17_clean_article_default", f"SELECT doc_id, length(cleaned)::BIGINT AS n, sha256(cleaned) AS sha FROM ({_clean_sql(_DEFAULT)})")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.length(X.clean_article("text")).cast("bigint").alias("n"))
+    clean = t.documents.select("doc_id", X.clean_article("text").alias("x"))
+    return clean.select("doc_id", F.length("x").cast("bigint").alias("n"), F.sha2("x", 256).alias("sha"))
 
 
 @query("s18_wayback", "SELECT page_id, page_id % 2 = 0 OR page_id % 3 = 0 AS available, CASE WHEN page_id % 5 <> 0 THEN url END AS url FROM pages WHERE page_id % 5 <> 0")
