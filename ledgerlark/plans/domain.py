@@ -289,7 +289,18 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.join(b, "vec_id").select("vec_id", F.round(S.cosine("embedding", "other"), 6).alias("score"))
 
 
-@query("a19_d15_near_duplicate_groups")
+_SIMILAR = "list_inner_product(p.v, v.v) / (sqrt(list_inner_product(p.v, p.v)) * sqrt(list_inner_product(v.v, v.v))) >= 0.3"
+
+
+# one row of each label after another, with the pivots so far
+@query(
+    "a19_d15_near_duplicate_groups",
+    f"""WITH RECURSIVE v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    s AS (SELECT label, n, vec_id, vec_id AS first_, [{{'id': vec_id, 'v': v}}] AS pivots FROM v WHERE n = 1
+      UNION ALL SELECT label, n, vec_id, coalesce(found, vec_id), CASE WHEN found IS NULL THEN list_append(pivots, {{'id': vec_id, 'v': v}}) ELSE pivots END
+      FROM (SELECT v.label, v.n, v.vec_id, v.v, s.pivots, list_filter(s.pivots, lambda p: {_SIMILAR})[1].id AS found FROM s JOIN v ON v.label = s.label AND v.n = s.n + 1))
+    SELECT label, first_ AS "pivot", count(*)::INTEGER AS size FROM s GROUP BY 1, 2 HAVING count(*) > 1""",
+)
 def _(t: Tables) -> DataFrame:
     found = S.near_duplicate_members(t.embeddings, 0.3, "label", "vec_id")
     return found.groupBy("label", "pivot").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
