@@ -93,32 +93,62 @@ def byte_symbols(data: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(data, np.uint8)]
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS = [np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2^64, kept between calls."""
     if len(_POWERS[0]) < n:
-        base = int(_MULTIPLY[3])
-        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
-            steps = np.full(2 * n, b, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
-
-
-def word_symbols(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word ([^\\x20\\x09-\\x0D]+), and where words start and end."""
-    codes = np.frombuffer(data, np.uint8)
-    inside = np.concatenate(([False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
-    power, inverse = _powers(len(codes) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[codes] * power[: len(codes)], dtype=np.uint64)))
-    h = (total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    h *= _MULTIPLY[5]
-    return h ^ h >> np.uint64(29), start, end
+        steps = np.full(n, _MULTIPLY[3], np.uint64)
+        steps[0] = 1
+        _POWERS[0] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0]
+
+
+class Words:
+    """The words ([^\\x20\\x09-\\x0D]+) of several texts in one sequence: symbols (a hash of each), and of text k the words bounds[k] to bounds[k + 1]; start and end are bytes of its text."""
+
+    def __init__(self, texts: list[bytes]):
+        codes = np.frombuffer(b"\n".join(texts), np.uint8)
+        inside = np.concatenate(([False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        sizes = end - start
+        first = np.cumsum(sizes) - sizes
+        if len(sizes):
+            within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            h = np.add.reduceat(_BYTE[codes[inside[1:-1]]] * _powers(int(sizes.max()))[within], first) + sizes.astype(np.uint64)
+        else:
+            h = np.empty(0, np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= _MULTIPLY[5]
+        self.symbols = h ^ h >> np.uint64(29)
+        offset = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.bounds = np.searchsorted(start, offset)
+        base = np.repeat(offset[:-1], np.diff(self.bounds))
+        self.start, self.end = start - base, end - base
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of the sequence its text, and whether it lies in one text."""
+        at = np.arange(max(len(self.symbols) - length + 1, 0))
+        text = np.searchsorted(self.bounds, at, "right") - 1
+        return text, at + length <= self.bounds[text + 1]
+
+
+def word_contexts(words: Words, length: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, first window, number of windows) of the contexts of all texts, as arrays; see `contexts`."""
+    text, whole = words.windows(length)
+    width = length - anchor + 1
+    for lo in range(0, len(text), STRETCH):
+        hi = min(lo + STRETCH, len(text))
+        names = window_hashes(words.symbols[lo : hi + length - 1], anchor)
+        keyed = (names >> np.uint64(22) << np.uint64(22)) | np.arange(len(names), dtype=np.uint64)
+        owner = (_sliding_min(keyed, width) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        new = (np.diff(owner) != 0) | (np.diff(text[lo:hi]) != 0) | (np.diff(whole[lo:hi].astype(np.int8)) != 0)
+        first = np.concatenate(([0], np.flatnonzero(new) + 1))
+        n = np.diff(np.concatenate((first, [hi - lo])))
+        keep = whole[lo + first]
+        yield names[owner[first]].view(np.int64)[keep], (first + lo)[keep], n[keep]
 
 
 def contexts(whole: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
@@ -335,23 +365,16 @@ def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
         for batch in pieces(batches, "text", 2 << 20):
-            d, t, rows, digests = [], [], [], []
-            for dd, tt, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                symbols, start, end = word_symbols(x.encode())
-                own = list(contexts(symbols, words, ANCHOR_WORDS))
-                if not own:
+            own = Words([x.encode() for x in batch.column("text").to_pylist()])
+            raw = own.symbols.tobytes()
+            for name, first, n in word_contexts(own, words, ANCHOR_WORDS):
+                if not len(name):
                     continue
-                raw = symbols.tobytes()
-                digests += [hashlib.md5(raw[8 * i : 8 * (i + n + words - 1)]).digest() for _, i, n, _ in own]
-                first = np.array([c[1] for c in own])
-                last = first + np.array([c[2] for c in own]) + words - 2
-                rows += [(*c[:3], int(a), int(b)) for c, a, b in zip(own, start[first], end[last], strict=True)]
-                d += [dd] * len(own)
-                t += [tt] * len(own)
-            if rows:
-                c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                name, s, w, a, b = map(list, zip(*rows, strict=True))
-                yield make(schema, d, t, name, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), s, w, a, b)
+                last = first + n + words - 2
+                c = np.frombuffer(b"".join([hashlib.md5(raw[i:j]).digest() for i, j in zip((8 * first).tolist(), (8 * last + 8).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                k = np.searchsorted(own.bounds, first, "right") - 1
+                d, t = (batch.column(x).to_numpy()[k] for x in ("d", "t"))
+                yield make(schema, d, t, name, np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), (first - own.bounds[k]).astype(np.int32), n.astype(np.int32), own.start[first].astype(np.int32), own.end[last].astype(np.int32))
 
     found = scratch.write(texts.mapInArrow(anchors, "d bigint, t bigint, name bigint, c1 bigint, c2 bigint, s int, w int, a int, b int"))
     who = F.xxhash64("d", "t")
@@ -366,12 +389,12 @@ def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
         for batch in pieces(batches, "x", 1 << 20):
-            own, each = [batch.column(k).to_numpy() for k in range(4)], []
-            for x in batch.column("x").to_pylist():
-                symbols = word_symbols(x)[0]
-                each.append((window_hashes(symbols, words), window_hashes(symbols[::-1], words)[::-1]))
-            n = [len(h) for h, _ in each]
-            yield make(schema, *(np.repeat(c, n) for c in own), np.concatenate([np.arange(k, dtype=np.int32) for k in n]), *(np.concatenate([e[k] for e in each]).view(np.int64) for k in (0, 1)))
+            own = Words(batch.column("x").to_pylist())
+            text, whole = own.windows(words)
+            at = np.flatnonzero(whole)
+            k = text[at]
+            both = window_hashes(own.symbols, words), window_hashes(own.symbols[::-1], words)[::-1]
+            yield make(schema, *(batch.column(c).to_numpy()[k] for c in ("c1", "c2", "lo", "hi")), (at - own.bounds[k]).astype(np.int32), *(h[at].view(np.int64) for h in both))
 
     each = scratch.write(cut.mapInArrow(windows, "c1 bigint, c2 bigint, lo bigint, hi bigint, i int, h1 bigint, h2 bigint"))
     again = scratch.write(each.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2"))
