@@ -132,14 +132,15 @@ def _relevance_sql() -> str:
     names, parties = ["jeanne dubreuil", "paul martin", "dubreuil", "the"], ["parti xeno", "les", "px"]
     speaker = _alternatives(names + parties)
     saying = _alternatives([*L.STRONG_VERBS, *L.INTERVIEW_MARKERS])
+    quoted = lambda x: x.replace("'", "''")
     said = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES))
     distinct = lambda terms: f"list_sort(list_distinct(regexp_extract_all(n, '\\b(?:{_alternatives(terms)})\\b')))"
     return f"""WITH d AS (SELECT doc_id, text, CASE doc_id % {len(_PHRASES)} {said} END AS said FROM documents), t AS (SELECT doc_id, {_NORM} AS n FROM d),
     r AS (SELECT doc_id, n, {distinct(names)} AS who, {distinct(parties)} AS which, string_split_regex(n, '\\b(?:{speaker})\\b') AS gaps, regexp_extract_all(n, '\\b(?:{speaker})\\b') AS found FROM t),
     m AS (SELECT doc_id, n, length(m) AS size, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop FROM (SELECT doc_id, n, unnest(gaps[: len(found)]) AS gap, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM r)),
     near AS (SELECT doc_id, bool_or(regexp_matches(substr(n, greatest(stop - size - {L.NEAR}, 0) + 1, stop + {L.NEAR} - greatest(stop - size - {L.NEAR}, 0)), '\\b(?:{saying})\\b')) AS near FROM m GROUP BY doc_id),
-    v AS (SELECT doc_id, who, which, len(who) + len(which) > 0 AS relevant, coalesce(near, false) OR regexp_matches(n, '\\b(?:selon|d apres)\\s+(?:[a-z''-]+\\s+){{0,2}}(?:{speaker})\\b')
-      OR regexp_matches(n, '\\b(?:{speaker})\\b\\s+(?:(?:a|ont|se|s|y|ne|n|qui)\\s+)?(?:[a-z]+ement\\s+)?(?:{_alternatives(L.SUBJECT_VERBS)})\\b') AS said FROM r LEFT JOIN near USING (doc_id))
+    v AS (SELECT doc_id, who, which, len(who) + len(which) > 0 AS relevant, coalesce(near, false) OR regexp_matches(n, '\\b{quoted(L.ATTRIBUTION)}(?:{speaker})\\b')
+      OR regexp_matches(n, '\\b(?:{speaker})\\b{L.BEFORE_VERB}(?:{_alternatives(L.SUBJECT_VERBS)})\\b') AS said FROM r LEFT JOIN near USING (doc_id))
     SELECT doc_id, relevant, CASE WHEN relevant THEN CASE WHEN said THEN 'prise_de_parole' ELSE 'mention' END END AS nature,
       list_aggregate(list_transform(who, lambda w: CASE w WHEN 'the' THEN 'The' WHEN 'paul martin' THEN 'Paul Martin' ELSE 'Jeanne Dubreuil' END), 'string_agg', ',') AS people,
       list_aggregate(list_sort(list_transform(which, lambda w: CASE WHEN length(w) <= 3 THEN upper(w) ELSE w END)), 'string_agg', ',') AS keywords FROM v"""
