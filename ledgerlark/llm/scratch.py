@@ -30,5 +30,16 @@ class Scratch:
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops every written table but these, whose lineage does not need the others."""
+        paths = {getattr(df, "_scratch_path", None) for df in frames}
+        for n in range(1, self.n + 1):
+            path = f"{self.root}/{n:04d}"
+            if path not in paths:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -247,8 +247,11 @@ def _document(key: Column, text: Column) -> list[Column]:
     return [F.coalesce(key.cast("bigint"), F.lit(_MIN)).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")]
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """(d, t, s, w): w windows from byte s on start elsewhere too."""
+def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT_CONTEXTS, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(d, t, s, w): w windows from byte s on start elsewhere too; and `others` (d, t, a, b, ...) with the bytes x from a to b.
+
+    One join with the texts serves both.
+    """
     long_ = docs.select(*_document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +278,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
     open_ = scratch.write(groups.join(mixed, "name").select("name", "k", "n", "z.*"))
     scratch.drop(groups)
     # the contexts' text; a join with the texts moves them once
-    cut = open_.join(long_, ["d", "t"]).select("name", "k", "n", "d", "t", "s", "w", "o", F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("w") + length - 1).alias("x"))
-    cut = scratch.write(cut)
+    wanted = open_.withColumns({"a": F.col("s"), "b": F.col("s") + F.col("w") + length - 1})
+    every = wanted if others is None else wanted.unionByName(others.withColumn("other", F.lit(True)), allowMissingColumns=True)
+    texts = docs.select(*_document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= (length if others is None else 2 * PASSAGE_WORDS - 1))
+    every = scratch.write(every.join(texts, ["d", "t"]).select(*every.columns, F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a")).alias("x")))
+    scratch.drop(open_)
+    cut = every.select("name", "k", "n", "d", "t", "s", "w", "o", "x") if others is None else every.where("other is null").select("name", "k", "n", "d", "t", "s", "w", "o", "x")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("w", pa.int32())])
@@ -305,7 +312,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, key: str = "doc_id", tex
 
     if not mixed.where(F.col("k") > hot).isEmpty():
         out = out.unionByName(_halved(cut.where(F.col("k") > hot).dropDuplicates(["d", "t", "s"]), scratch, length))
-    return out
+    return out, None if others is None else every.where("other").select(*others.columns, "x")
 
 
 def _halved(cut: DataFrame, scratch: Scratch, length: int) -> DataFrame:
@@ -358,8 +365,8 @@ def _halved(cut: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     return out
 
 
-def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
-    """(d, t, s, w): w windows of `words` words, from the s-th word on, that another document has too."""
+def shared_contexts(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contexts of words whose anchors are in several documents (d, t, c1, c2, s, w, ..); those that are shared as a whole (c1, c2, runs); and, of anchors with several contexts, one place each (c1, c2, lo, hi, d, t, a, b)."""
     texts = docs.select(*_document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= 2 * words - 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,13 +385,24 @@ def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 
     found = scratch.write(texts.mapInArrow(anchors, "d bigint, t bigint, name bigint, c1 bigint, c2 bigint, s int, w int, a int, b int"))
     who = F.xxhash64("d", "t")
-    # a context is in the documents lo to hi; z is one of its places
-    groups = scratch.write(found.groupBy("name", "c1", "c2").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("d", "t", "s", "w", "a", "b")).alias("z")))
-    mixed = scratch.write(groups.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("k > 1 and lo <> hi").select("name"))
-    wholly = groups.where("lo <> hi").select("c1", "c2", F.array(F.struct(F.lit(0).alias("i"), F.col("z.w").alias("n"))).alias("runs"))
-    open_ = groups.join(mixed, "name").where("lo = hi").select("c1", "c2", "lo", "hi", "z.*")
-    known = groups.join(mixed, "name").where("lo <> hi").select("c1", "c2", "lo", "hi", "z.*")
-    cut = open_.unionByName(known).join(texts, ["d", "t"]).select("c1", "c2", "lo", "hi", F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a")).alias("x"))
+    # anchors in one document only end here: nearly all
+    names = scratch.write(found.groupBy("name").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("name"))
+    held = scratch.write(found.join(names, "name"))
+    scratch.drop(found, names)
+    # a context is in the documents lo to hi; contexts in several are shared as a whole
+    groups = scratch.write(held.groupBy("name", "c1", "c2").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("d", "t", "s", "w", "a", "b")).alias("z")))
+    mixed = groups.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name")
+    open_ = scratch.write(groups.join(mixed, "name").select("c1", "c2", "lo", "hi", "z.d", "z.t", "z.a", "z.b"))
+    wholly = scratch.write(groups.where("lo <> hi").select("c1", "c2", F.array(F.struct(F.lit(0).alias("i"), F.col("z.w").alias("n"))).alias("runs")))
+    scratch.drop(groups)
+    return held, wholly, open_
+
+
+def told_apart(held: DataFrame, wholly: DataFrame, cut: DataFrame, scratch: Scratch, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(d, t, s, w): w windows of `words` words, from the s-th word on, that another document has too.
+
+    held, wholly: see `shared_contexts`; cut: the open contexts with their bytes x.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
@@ -400,9 +418,8 @@ def shared_passages(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     again = scratch.write(each.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2"))
     partly = each.where("lo = hi").join(again, ["h1", "h2"]).groupBy("c1", "c2").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("i"), F.lit(1).alias("n"))).alias("runs"))
     shared = scratch.write(wholly.unionByName(partly))
-    out = scratch.write(found.join(shared, ["c1", "c2"]).select("d", "t", F.explode(F.transform("runs", lambda r: F.struct((F.col("s") + r["i"]).alias("s"), r["n"].alias("w")))).alias("r")).select("d", "t", "r.*"))
-    scratch.drop(found, groups, mixed, each, again)
-    return out
+    scratch.drop(each, again)
+    return held.join(shared, ["c1", "c2"]).select("d", "t", F.explode(F.transform("runs", lambda r: F.struct((F.col("s") + r["i"]).alias("s"), r["n"].alias("w")))).alias("r")).select("d", "t", "r.*")
 
 
 def _merged(runs: list | None, length: int) -> list[list[int]]:
@@ -428,9 +445,12 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     listed = lambda df, name: df.groupBy("d", "t").agg(F.collect_list(F.struct("s", "w")).alias(name))
-    runs = scratch.write(listed(repeated_windows(docs, scratch, key, text, length), "runs"))
-    passages = listed(shared_passages(docs, scratch, key, text, words), "passages")
+    held, wholly, open_ = shared_contexts(docs, scratch, key, text, words)
+    windows, cut_ = repeated_windows(docs, scratch, key, text, length, HOT_CONTEXTS, open_)
+    runs = scratch.write(listed(windows, "runs"))
+    passages = listed(told_apart(held, wholly, cut_, scratch, words), "passages")
     runs = scratch.write(runs.join(passages, ["d", "t"], "full"))
+    scratch.keep(runs)
     d, t = _document(F.col(key), F.col(text))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), d.alias("d"), t.alias("t"))
     joined = rows.join(runs, ["d", "t"], "left").select("_key", "_text", "runs", "passages")

@@ -264,7 +264,7 @@ def test_passages(spark):
 def _drop(spark, rows, scratch, hot):
     plain = suffixes.repeated_windows
     try:
-        suffixes.repeated_windows = lambda d, s, key, text, length: plain(d, s, key, text, length, hot)
+        suffixes.repeated_windows = lambda d, s, key, text, length, _, others: plain(d, s, key, text, length, hot, others)
         return suffixes.drop_repeats(docs(spark, rows))
     finally:
         suffixes.repeated_windows = plain
