@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 
 _DDL = {
     "personalities": "id bigint, full_name string, handle string, group_code string, group_long string, famille string, role string, verif string, circo string, departement string, photo_url string, an_id string, is_active boolean, last_checked_at timestamp, last_collected_at timestamp, last_status string, last_error string, consecutive_failures int",
-    "posts": "id bigint, guid string, personality_id bigint, source string, url string, content string, post_type string, reply_to_handle string, reply_to_url string, quoted_handle string, quoted_url string, quoted_content string, media_url string, collected_via string, lang string, content_hash string, snapshot_path string, snapshot_url string, theme string, subtheme string, is_retweet boolean, is_reply boolean, likes int, retweets int, replies int, quotes int, views int, word_count int, published_at timestamp, engagement_captured_at timestamp, archived_at timestamp",
+    "posts": "id bigint, guid string, personality_id bigint, source string, url string, content string, post_type string, reply_to_handle string, reply_to_url string, quoted_handle string, quoted_url string, quoted_content string, media_url string, collected_via string, lang string, content_hash string, snapshot_path string, snapshot_url string, theme string, subtheme string, is_retweet boolean, is_reply boolean, likes bigint, retweets bigint, replies bigint, quotes bigint, views bigint, word_count int, published_at timestamp, engagement_captured_at timestamp, archived_at timestamp",
     "media_sources": "id string, name string, homepage string, rss_url string, category string, leaning string, is_active boolean, last_checked_at timestamp, last_collected_at timestamp, last_status string, last_error string, consecutive_failures int",
     "articles": "id bigint, url_hash string, media_source_id string, url string, title string, content string, author string, extraction_method string, lang string, section string, nature string, genre string, snapshot_path string, snapshot_url string, theme string, subtheme string, published_at timestamp, published_estimated boolean, is_full_text boolean, paywalled boolean, is_statement boolean, confidence_score double, matched_keywords array<string>, matched_personalities array<string>, word_count int, archived_at timestamp",
     "claims": "id bigint, dedup_key string, platform string, post_id bigint, article_id bigint, personality_id bigint, speaker_name string, party string, verbatim string, canonical string, claim_type string, theme string, subtheme string, referent_key string, qty_value double, qty_unit string, qty_unit_kind string, qty_horizon string, qty_modality string, stance_polarity string, extraction_method string, extraction_model string, confidence double, human_validated boolean, embedding array<float>, published_at timestamp",

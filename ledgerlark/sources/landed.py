@@ -70,7 +70,7 @@ def timeline_posts(landed: DataFrame, html: str = "html", handle: str = "handle"
     p = landed.select(handle, F.col(html)).withColumn("_t", M.timeline(F.col(html))).select(handle, F.posexplode("_t.posts").alias("pos", "p")).select(handle, "pos", "p.*")
     full = lambda c: F.when(F.startswith(F.col(c), F.lit("/")) & F.lit(bool(base)), F.concat(F.lit(base.rstrip("/")), F.col(c))).otherwise(F.col(c))
     kind = F.when(F.col("is_retweet"), "retweet").when(F.col("is_quote"), "quote").when(F.col("is_reply"), "reply").otherwise("original")
-    counts = [F.when(F.col(c).isNotNull(), T.parse_count(c)).cast("int").alias(c) for c in ("replies", "retweets", "quotes", "likes")]
+    counts = [F.when(F.col(c).isNotNull(), T.parse_count(c)).alias(c) for c in ("replies", "retweets", "quotes", "likes")]
     return p.select(
         T.post_guid(handle, "link").alias("guid"), full("link").alias("url"), "content", T.timeline_time("date").alias("published_at"), "is_retweet", "is_reply", kind.alias("post_type"),
         F.when(F.col("is_reply"), F.col("reply_to_handle")).alias("reply_to_handle"), full("quoted_link").alias("quoted_url"), "quoted_handle", "quoted_content", full("media").alias("media_url"), F.lit("html").alias("collected_via"),

@@ -10,6 +10,7 @@ from ledgerlark.operators import extraction as X
 from ledgerlark.operators import lexicon as L
 from ledgerlark.operators import similarity as S
 from ledgerlark.operators import temporal
+from ledgerlark import schemas
 from ledgerlark.sources import landed, sinks
 
 INDEX = {"figures_noyau": ["jordan bardella", "marine le pen"], "parties": ["rassemblement national"], "sigles": ["rn"]}
@@ -166,6 +167,14 @@ def test_timeline(spark):
     assert landed.next_cursors(landed_).first().next_cursor == "?cursor=x"
 
 
+def test_timeline_counts_beyond_int(spark):
+    page = '<div class="timeline-item"><div class="tweet-content">t</div><div class="tweet-stat"><span class="icon-heart"></span> 5,671,680,234</div><div class="tweet-stat"><span class="icon-retweet"></span> 3000M</div></div>'
+    posts = landed.timeline_posts(spark.createDataFrame([("u", page)], "handle string, html string"))
+    assert tuple(posts.select("likes", "retweets", "quotes").first()) == (5671680234, 3_000_000_000, None)
+    kept = sinks.conform(posts, schemas.schema("posts"))
+    assert tuple(kept.select("likes", "retweets").first()) == (5671680234, 3_000_000_000)
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     path = str(tmp_path / "t")
