@@ -234,6 +234,22 @@ def test_embed(spark):
     assert {i: v[0] for i, v in got.items()} == {1: 3.0, 2: 0.0, 3: 1500.0} and all(v[1] <= 2 for v in got.values())
 
 
+def test_edge_counts(spark):
+    """As many edges of each type as pairs that detect finds, also at the bound, with missing names, two parties and equal dates."""
+    rng = np.random.default_rng(5)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    values = (0.0, 0.01, 0.02, 0.5, 0.99, 1.0, 1.01, 1.02, 49.0, 50.0, 51.0, -49.0, -50.0, -0.01, -0.02, -0.0, 98.0, 100.0, 1e308, -1e308, float("inf"), float("nan"))
+    day = lambda: pick(None, *(dt.datetime(2024, 1, d) for d in (1, 2, 3)))
+    rows = [(i, pick("r", "q", None), pick("eur", "pct", None), pick(None, *values, *values), pick(None, "", "s", "t"), pick(None, "", "p", "o"), day(), pick(None, "pour", "contre"), "v", "eur") for i in range(500)]
+    c = spark.createDataFrame(rows, "id long, referent_key string, qty_unit_kind string, qty_value double, speaker_name string, party string, published_at timestamp, stance_polarity string, verbatim string, qty_unit string")
+    want = {(r.referent_key, r.type): r.n for r in C.detect(c).groupBy("referent_key", "type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r.referent_key, r.type): r.n for r in C.edge_counts(c).collect()}
+    assert got == want and len(want) == 8
+    assert C.edge_counts(c.where("false")).count() == 0
+    many = spark.range(300_000).select("id", F.lit("r").alias("referent_key"), F.lit("eur").alias("qty_unit_kind"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(2.0).alias("qty_value"), F.lit("s").alias("speaker_name"), F.lit("p").alias("party"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("stance_polarity"))
+    assert [tuple(r) for r in C.edge_counts(many).collect()] == [("r", 6, 150_000**2)]
+
+
 def test_anchor_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 4))
