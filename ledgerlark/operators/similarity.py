@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -64,12 +64,66 @@ def top_anchors(query: list[float], anchors: DataFrame, k: int, vector: str = "e
 
 
 def fusion_candidates(anchors: DataFrame, threshold: float, key: str = "key", vector: str = "embedding") -> DataFrame:
-    """Pairs of anchors (each once) at least as similar as the threshold, most similar first."""
-    a = anchors.where(F.col(vector).isNotNull()).select(F.col(key).alias("a"), F.col(vector).alias("_v"), norm(vector).alias("_n"))
-    b = a.select(F.col("a").alias("b"), F.col("_v").alias("_w"), F.col("_n").alias("_m"))
-    score = F.when(F.col("_n") * F.col("_m") == 0, 0.0).otherwise(dot("_v", "_w") / (F.col("_n") * F.col("_m")))
-    pairs = reduce(DataFrame.unionByName, [a.join(part, F.col("a") < F.col("b")).select("a", "b", score.alias("score")) for part in _anchor_parts(b, "b")])
-    return pairs.where(F.col("score") >= threshold).orderBy(F.desc("score"), "a", "b")
+    """Pairs of anchors (each once) at least as similar as the threshold, most similar first.
+
+    Any number of anchors: rows are dealt to parts by their key, and every two parts are compared by a task as
+    matrices. What comes near the threshold is computed again component by component, as `cosine` does it.
+    """
+    x = F.col(vector)
+    whole = ~F.exists(x, lambda c: c.isNull())
+    a = anchors.where(x.isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("k"), F.when(whole, x).otherwise(F.transform(x, lambda c: F.coalesce(c, F.lit(0).cast("float")))).alias("v"), F.when(~whole, F.transform(x, lambda c: c.isNotNull())).alias("held"), norm(x).alias("n")
+    )
+    parts = max(1, -(-a.count() // TILE_ROWS))
+    own = F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
+    dealt = a.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.select("k", "v", "held", "n", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), (F.col("own") > F.col("other")).alias("right"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        alone = pdf["g"].iloc[0] == pdf["h"].iloc[0]
+        left, right = (pdf, pdf) if alone else (pdf[~pdf["right"]], pdf[pdf["right"]])
+        width = int(pdf["v"].map(len).max())
+        (u, u_held), (w, w_held) = _matrix(left, width), _matrix(right, width)
+        gaps = not (u_held.all() and w_held.all())
+        p, q = left["k"].to_numpy(), right["k"].to_numpy()
+        m, n = left["n"].to_numpy(dtype=float), right["n"].to_numpy(dtype=float)
+        columns, others = np.ascontiguousarray(u.T), np.ascontiguousarray(w.T)
+        for lo in range(0, len(left) if len(right) else 0, 256):
+            with np.errstate(all="ignore"):
+                length = m[lo : lo + 256, None] * n[None, :]
+                rough = np.where(length == 0, 0.0, u[lo : lo + 256] @ w.T / length)
+                # not a number counts as more than any
+                i, j = np.nonzero(~(rough < threshold - 1e-9))
+                i += lo
+                ordered = p[i] < q[j] if alone else p[i] != q[j]
+                i, j = i[ordered.astype(bool)], j[ordered.astype(bool)]
+                total = np.zeros(len(i))
+                for c in range(width):
+                    product = columns[c][i] * others[c][j]
+                    total += np.where(u_held[i, c] & w_held[j, c], product, 0.0) if gaps else product
+                length = m[i] * n[j]
+                score = np.where(length == 0, 0.0, total / length)
+            kept = ~(score < threshold)
+            i, j, score = i[kept], j[kept], score[kept]
+            first = (p[i] < q[j]).astype(bool)
+            yield pd.DataFrame({"a": np.where(first, p[i], q[j]), "b": np.where(first, q[j], p[i]), "score": score})
+
+    kind = dict(a.dtypes)["k"]
+    pairs = dealt.groupBy("g", "h").applyInPandas(compare, f"a {kind}, b {kind}, score double")
+    # pandas hands on what is not a number as null; there is no other null
+    return pairs.withColumn("score", F.coalesce("score", F.lit(float("nan")))).orderBy(F.desc("score"), "a", "b")
+
+
+def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of one matrix, and which of its components are there."""
+    out, held = np.zeros((len(rows), width)), np.ones((len(rows), width), dtype=bool)
+    for r, (v, there) in enumerate(zip(rows["v"], rows["held"], strict=True)):
+        out[r, : len(v)] = v
+        held[r, len(v) :] = False
+        if there is not None:
+            held[r, : len(v)] = there
+    return out, held
 
 
 def greedy_groups(ids: list, vectors: np.ndarray, threshold: float) -> list[list]:
