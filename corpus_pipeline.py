@@ -31,9 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out; a document of which nothing is left goes."""
+    """Later copies of repeated line runs, intervals of the suffix order, are cut out; a document of which nothing is left goes."""
     ship(spark)
-    out = lines.drop_repeated_lines(docs, lengths=False).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    out = lines.drop_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
     cut = F.col("n_removed") > 0
     changed = {"text": F.col("kept"), "n_chars": F.when(cut, F.length("kept").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -89,16 +89,17 @@ def _pairs(level: DataFrame, h: int) -> DataFrame:
 
 
 def repeated_pairs(level: DataFrame, scratch: Scratch) -> DataFrame:
-    """(m, p, first): positions whose run of two lines occurs again, and the first position where it does (written)."""
+    """(m, p): positions whose run of two lines occurs again (written)."""
     pairs = scratch.write(_pairs(level, 1).select("m", "p", "r", "e"))
-    again = scratch.write(pairs.groupBy("r", "e").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    out = scratch.write(pairs.join(again, ["r", "e"]).select("m", "p", "first"))
+    again = scratch.write(pairs.groupBy("r", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    out = scratch.write(pairs.join(again, ["r", "e"]).select("m", "p"))
     scratch.drop(pairs, again)
     return out
 
 
 def prefix_lengths(kept: DataFrame, scratch: Scratch) -> DataFrame:
-    """(m, p, length): how many lines each position shares with the suffix it is most like.
+    """(m, p, length, first): how many lines each position shares with the suffix it is most like, and the first
+    position of its interval of two lines (null outside one).
 
     kept: (m, p, r), positions with the rank of their line. At the step for h lines, `r` ranks runs of
     h lines, and `e` the h lines after them; where those are not all kept, a number below zero, of
@@ -112,8 +113,13 @@ def prefix_lengths(kept: DataFrame, scratch: Scratch) -> DataFrame:
         settled = now.where(one).select("r", F.lit(None).cast("bigint").alias("e"), F.lit(0).cast("bigint").alias("n"), "m", "p")
         ranked = _ranked(classes.unionByName(settled), scratch, "c", "r", "e")
         steps.append((h, ranked, _neighbours(ranked, h, scratch)))
-        live = ranked.where("n > 1").select("r", "e", F.col("c")).join(pairs, ["r", "e"]).select("m", "p", F.col("c").alias("r"), F.lit(False).alias("one"))
-        live = scratch.write(live)
+        live = ranked.where("n > 1").select("r", "e", "c", F.col("p").alias("first")).join(pairs, ["r", "e"]).select("m", "p", F.col("c").alias("r"), F.lit(False).alias("one"), "first")
+        if h == 1:
+            live = scratch.write(live)
+            intervals = scratch.write(live.select("m", "p", "first"))
+            live = live.drop("first")
+        else:
+            live = scratch.write(live.drop("first"))
         scratch.drop(pairs, now)
         if live.isEmpty():
             break
@@ -138,7 +144,8 @@ def prefix_lengths(kept: DataFrame, scratch: Scratch) -> DataFrame:
     every = done[0]
     for df in done[1:]:
         every = every.unionByName(df)
-    return every.select(F.explode("at").alias("at"), "length").where("at is not null").groupBy("at.m", "at.p").agg(F.max("length").alias("length"))
+    every = every.select(F.explode("at").alias("at"), "length").where("at is not null").groupBy("at.m", "at.p").agg(F.max("length").alias("length"))
+    return every.join(intervals, ["m", "p"], "left")
 
 
 def _neighbours(ranked: DataFrame, h: int, scratch: Scratch) -> DataFrame:
@@ -156,14 +163,14 @@ def _neighbours(ranked: DataFrame, h: int, scratch: Scratch) -> DataFrame:
     return scratch.write(both.select("a", "b", F.array("at_a", "at_b").alias("at"), F.lit(h).cast("bigint").alias("length")))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: bool = True) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row as a struct `row`, untouched, and kept, n_lines, n_removed, n_runs, longest.
 
     A line goes if it lies in a run that also starts at an earlier place (smaller key, then earlier
     line); a run is two or more lines, or one line of MIN_WORDS words or more. The first copy stays, save
     for lines that an overlapping later copy covers. Blank lines are no part of runs and not counted; they
     stay or go with the line before. n_runs: stretches that were cut out. longest: lines of the longest
-    run of the document that occurs anywhere again (null without `lengths`, which are not computed then).
+    run of the document that occurs anywhere again.
     Null texts count as empty, and kept is null for them; documents without repeats are unchanged;
     repeated rows are one document and get the same result; empty tables give no rows. Ties cannot
     occur: positions are unique. Other columns may have any names.
@@ -174,20 +181,19 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     long_ = level.where("w")
     firsts = long_.groupBy("r").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     alone = long_.join(firsts, "r").where("p <> first").select("m", "p")
-    later = pairs.where("p <> first").select("m", F.explode(F.array("p", F.col("p") + 1)).alias("p")).unionByName(alone)
+    kept = scratch.write(level.join(pairs.select(F.explode(F.array("p", F.col("p") + 1)).alias("p")).distinct(), "p", "left_semi").select("m", "p", "r"))
+    runs = scratch.write(prefix_lengths(kept, scratch))
+    # an interval of two lines or more: its first position stays
+    later = runs.where((F.col("length") >= MIN_LINES) & (F.col("p") != F.col("first"))).select("m", F.explode(F.array("p", F.col("p") + 1)).alias("p")).unionByName(alone)
     marks = later.groupBy("m").agg(F.array_sort(F.collect_set(F.col("p") - F.col("m"))).alias("js"))
     # lines of a document that touch are one run: [first, last] unit
     js = F.col("js")
     first = F.filter(js, lambda j, k: (k == 0) | (j - F.get(js, k - 1) > 1))
     last = F.filter(js, lambda j, k: (k == F.size(js) - 1) | (F.get(js, k + 1) - j > 1))
     marks = marks.select("m", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("runs"))
-    if lengths:
-        kept = scratch.write(level.join(pairs.select(F.explode(F.array("p", F.col("p") + 1)).alias("p")).distinct(), "p", "left_semi").select("m", "p", "r"))
-        # a line outside every repeated pair shares itself alone
-        found = level.select("m", F.lit(1).cast("bigint").alias("length")).unionByName(prefix_lengths(kept, scratch).select("m", F.greatest("length", F.lit(1)).alias("length")))
-        marks = marks.join(found.groupBy("m").agg(F.max("length").alias("longest")), "m", "full")
-    else:
-        marks = marks.withColumn("longest", F.lit(None).cast("bigint"))
+    # a line outside every repeated pair shares itself alone
+    found = level.select("m", F.lit(1).cast("bigint").alias("length")).unionByName(runs.select("m", F.greatest("length", F.lit(1)).alias("length")))
+    marks = marks.join(found.groupBy("m").agg(F.max("length").alias("longest")), "m", "full")
     marks = scratch.write(names.join(marks, "m").select("d", "t", "runs", "longest"))
     scratch.drop(level, pairs)
     d, t = _document(key, text)
@@ -205,7 +211,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
         F.size(F.filter(units, _is_line)).cast("bigint").alias("n_lines"),
         F.when(some, removed).otherwise(0).cast("bigint").alias("n_removed"),
         F.when(some, F.size("runs")).otherwise(0).cast("bigint").alias("n_runs"),
-        (F.coalesce("longest", F.lit(0).cast("bigint")) if lengths else F.col("longest")).alias("longest"),
+        F.coalesce("longest", F.lit(0).cast("bigint")).alias("longest"),
     )
 
 
